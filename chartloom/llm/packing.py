@@ -153,5 +153,5 @@ def pack_texts(texts: DataFrame, capacity: int = 2048, open_windows: int = 64, m
         packed = cut(gathered.mapInArrow(_pack_windows(capacity, open_windows), schema))
         left = packed.where("open")
         closed.append(packed.where("NOT open"))
-    containers = reduce(DataFrame.unionByName, [*closed, left]).select(F.monotonically_increasing_id().alias("container_id"), F.explode("items").alias("i"))
-    return containers.select("container_id", "i.*")
+    containers = reduce(DataFrame.unionByName, [*closed, left]).withColumn("container_id", F.monotonically_increasing_id())
+    return containers.select("container_id", F.explode("items").alias("i")).select("container_id", "i.*")
