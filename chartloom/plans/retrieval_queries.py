@@ -296,7 +296,7 @@ def with_ctes(names: list[str], final: str, **values: str) -> str:
     """One statement of the named parts, in their order, and the final select."""
     fill = {"q": "q", "pool": "good", "top": "60", "wv": "1.2", "bonus": "0.5", "first": ""} | values
     part = lambda n: CTE[n].format(**fill) if n in ("terms0", "vc", "vec", "raws", "near") else CTE[n]
-    return "WITH " + ", ".join(f"{n} AS ({part(n)})" for n in dict.fromkeys(names)) + " " + final
+    return "WITH " + ", ".join(f"{n} AS ({part(n)})" for n in dict.fromkeys(names)) + (f" {final}" if final else "")
 
 
 def _timed(order: str, score: str, keep: str = "true", names: list[str] | None = None) -> str:
