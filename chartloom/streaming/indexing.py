@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +17,7 @@ def index_batch(notes: DataFrame, index_path: str) -> None:
     fresh = notes.select("note_id", "text").dropDuplicates(["note_id"])
     try:
         fresh = fresh.join(spark.read.parquet(index_path).select("note_id"), "note_id", "left_anti")
-    except Exception:  # noqa: BLE001
+    except AnalysisException:
         pass  # no index yet
     chunks = chunk_notes(fresh)
     chunks.withColumn("embedding", embedder()(F.col("text"))).write.mode("append").parquet(index_path)
