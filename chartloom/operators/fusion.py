@@ -56,7 +56,8 @@ def temporal(results: DataFrame, mode: str, recency_days: int = 365, weight: flo
         dated = results.withColumn("anchor", F.max("charttime").over(Window.partitionBy("query_id", "subject_id")))
     else:
         dated = results.join(reference.select("subject_id", "anchor"), "subject_id", "left")
-    days = F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", F.col("charttime"), F.col("anchor")) / 86400.0)
+    days = F.timestamp_diff("SECOND", F.col("charttime"), F.col("anchor")) / 86400.0
+    days = F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))  # greatest would take the number before a null
     dated = dated.withColumn("days_ago", days).drop("anchor")
     if mode == "all":
         return dated
@@ -73,7 +74,7 @@ def temporal(results: DataFrame, mode: str, recency_days: int = 365, weight: flo
 def temporal_v1(results: DataFrame, most: float = 0.20, span_days: int = 36_525) -> DataFrame:
     """The older rule: a boost by up to ``most`` that falls linearly from a fixed day, whatever the mode."""
     days = F.timestamp_diff("SECOND", F.col("charttime"), F.lit("2200-01-01").cast("timestamp_ntz")) / 86400.0
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days / span_days))
+    share = F.when(days.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - days / span_days)))
     boosted = results.withColumn("score", F.col("score") * (1 + most * F.coalesce(share, F.lit(0.0))))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "rank")
     return boosted.withColumn("rank", F.row_number().over(w).cast("long"))

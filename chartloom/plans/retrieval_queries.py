@@ -34,9 +34,9 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
 
 
-def chunk_vectors(s: SparkSession, d: str) -> DataFrame:
+def chunk_vectors(s: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
     v = vectors(s, d).select((F.col("vec_id") + FIRST_CHUNK).alias("chunk_id"), "vector")
-    return v.join(good_chunks(s, d).select("chunk_id"), "chunk_id", "left_semi")
+    return v.join((chunks if chunks is not None else good_chunks(s, d)).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def question_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -48,18 +48,17 @@ def note_times(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "deid_results").where("note_id IS NOT NULL").groupBy("note_id").agg(F.max("charttime").alias("charttime"))
 
 
-def lexical_arm(s: SparkSession, d: str) -> DataFrame:
-    return lexical.two_pass(questions(s, d), good_chunks(s, d))
-
-
-def vector_arm(s: SparkSession, d: str) -> DataFrame:
-    return vector.vector_top(question_vectors(s, d), chunk_vectors(s, d))
+def arms(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lexical and the vector list, and the chunks that both were drawn from, which are read and freed of repeats once."""
+    chunks = cut(good_chunks(s, d))
+    return lexical.two_pass(questions(s, d), chunks), vector.vector_top(question_vectors(s, d), chunk_vectors(s, d, chunks)), chunks
 
 
 def hybrid(s: SparkSession, d: str) -> DataFrame:
     """Fused results with their chunks' fields and the notes' times, written once for what follows."""
-    fused = fusion.reciprocal_rank_fusion(lexical_arm(s, d), vector_arm(s, d))
-    return cut(fused.join(good_chunks(s, d), "chunk_id").join(note_times(s, d), "note_id", "left"))
+    by_words, by_vectors, chunks = arms(s, d)
+    fused = fusion.reciprocal_rank_fusion(by_words, by_vectors)
+    return cut(fused.join(chunks, "chunk_id").join(note_times(s, d), "note_id", "left"))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -67,11 +66,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def lexical_bm25(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(lexical.bm25(questions(s, d), good_chunks(s, d)), "score")
+    return _rounded(lexical.bm25(questions(s, d), cut(good_chunks(s, d))), "score")
 
 
 def lexical_two_pass(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(lexical_arm(s, d).withColumn("pass", F.col("pass").cast("long")), "score", "norm")
+    return _rounded(lexical.two_pass(questions(s, d), cut(good_chunks(s, d))).withColumn("pass", F.col("pass").cast("long")), "score", "norm")
 
 
 def lexical_cover_density(s: SparkSession, d: str) -> DataFrame:
@@ -110,16 +109,16 @@ def vector_lsh(s: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(fusion.reciprocal_rank_fusion(lexical_arm(s, d), vector_arm(s, d)), "raw", "score")
+    return _rounded(fusion.reciprocal_rank_fusion(*arms(s, d)[:2]), "raw", "score")
 
 
 def rrf_v1(s: SparkSession, d: str) -> DataFrame:
-    f = fusion.fusion_v1(lexical_arm(s, d), vector_arm(s, d))
+    f = fusion.fusion_v1(*arms(s, d)[:2])
     return _rounded(f, "score").select("query_id", "chunk_id", "score", "rank")
 
 
 def arm_counts(s: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(lexical_arm(s, d), vector_arm(s, d)).groupBy("query_id", "sources").agg(F.count("*").alias("n"))
+    return fusion.reciprocal_rank_fusion(*arms(s, d)[:2]).groupBy("query_id", "sources").agg(F.count("*").alias("n"))
 
 
 def note_dedup(s: SparkSession, d: str) -> DataFrame:
@@ -269,7 +268,7 @@ CTE = {
     "times": "SELECT note_id, max(charttime) AS charttime FROM deid_results WHERE note_id IS NOT NULL GROUP BY note_id",
     "hyb": "SELECT * FROM fused JOIN good USING (chunk_id) LEFT JOIN times USING (note_id)",
     "dedup": "SELECT * EXCLUDE (rank, k), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, note_id ORDER BY rank) AS k FROM hyb) WHERE k <= 2",
-    "aged": "SELECT *, greatest(0.0, date_diff('second', charttime, max(charttime) OVER (PARTITION BY query_id, subject_id)) / 86400.0) AS days_ago FROM (SELECT * FROM dedup)",
+    "aged": "SELECT *, CASE WHEN charttime IS NOT NULL THEN greatest(0.0, date_diff('second', charttime, max(charttime) OVER (PARTITION BY query_id, subject_id)) / 86400.0) END AS days_ago FROM (SELECT * FROM dedup)",
     "places": "SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY note_id, chunk_index ORDER BY chunk_id) AS k FROM chunks) WHERE k = 1",
     "near": "SELECT a.chunk_id, b.chunk_index AS i, b.text, sum(b.tokens) OVER (PARTITION BY a.chunk_id ORDER BY {first} b.chunk_index ROWS UNBOUNDED PRECEDING) AS used, b.tokens FROM places a JOIN places b ON a.note_id = b.note_id AND b.chunk_index BETWEEN a.chunk_index - 1 AND a.chunk_index + 1",
     "ctx": "SELECT chunk_id, string_agg(text, chr(10) ORDER BY i) AS context, CAST(sum(tokens) AS BIGINT) AS context_tokens, count(*) AS n_context FROM near WHERE used <= 600 GROUP BY chunk_id",
@@ -322,8 +321,8 @@ SQL = {
     "temporal_recent": _timed("round(score, 9) DESC, old", _BOOST, "days_ago IS NULL OR days_ago <= 365"),
     "temporal_latest": _timed("round(score, 9) DESC, old", _BOOST),
     "temporal_trend": _timed("charttime NULLS LAST, old", "score"),
-    "temporal_reference": with_ctes(_HYBRID, f"SELECT query_id, chunk_id, subject_id, round(score, 6) AS score, round(days_ago, 6) AS days_ago, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, old) AS rank FROM (SELECT query_id, chunk_id, subject_id, {_BOOST} AS score, days_ago, rank AS old FROM (SELECT d.*, greatest(0.0, date_diff('second', d.charttime, a.anchor) / 86400.0) AS days_ago FROM dedup d LEFT JOIN (SELECT subject_id, max(charttime) AS anchor FROM deid_results WHERE subject_id IS NOT NULL GROUP BY subject_id) a USING (subject_id)))"),
-    "temporal_v1": with_ctes(_HYBRID, "SELECT query_id, chunk_id, round(b, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, old) AS rank FROM (SELECT query_id, chunk_id, rank AS old, score * (1 + 0.2 * coalesce(greatest(0.0, least(1.0, 1 - date_diff('second', charttime, TIMESTAMP '2200-01-01') / 86400.0 / 36525)), 0.0)) AS b FROM hyb)"),
+    "temporal_reference": with_ctes(_HYBRID, f"SELECT query_id, chunk_id, subject_id, round(score, 6) AS score, round(days_ago, 6) AS days_ago, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, old) AS rank FROM (SELECT query_id, chunk_id, subject_id, {_BOOST} AS score, days_ago, rank AS old FROM (SELECT d.*, CASE WHEN d.charttime IS NOT NULL AND a.anchor IS NOT NULL THEN greatest(0.0, date_diff('second', d.charttime, a.anchor) / 86400.0) END AS days_ago FROM dedup d LEFT JOIN (SELECT subject_id, max(charttime) AS anchor FROM deid_results WHERE subject_id IS NOT NULL GROUP BY subject_id) a USING (subject_id)))"),
+    "temporal_v1": with_ctes(_HYBRID, "SELECT query_id, chunk_id, round(b, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, old) AS rank FROM (SELECT query_id, chunk_id, rank AS old, score * (1 + 0.2 * CASE WHEN charttime IS NOT NULL THEN greatest(0.0, least(1.0, 1 - date_diff('second', charttime, TIMESTAMP '2200-01-01') / 86400.0 / 36525)) ELSE 0.0 END) AS b FROM hyb)"),
     "temporal_intent": f"WITH q AS (SELECT DISTINCT query FROM (SELECT query FROM eval_passages UNION ALL SELECT query FROM training_examples) WHERE query IS NOT NULL), a AS (SELECT unnest([query, 'most recent ' || query, query || ' over time', query || ' during this admission']) AS question FROM q) SELECT question, {_MODE} AS mode FROM a",
     "context_window": with_ctes(["chunks", "places", "near", "ctx"], "SELECT p.chunk_id, md5(coalesce(c.context, p.text)) AS context_md5, coalesce(c.context_tokens, 0) AS context_tokens, coalesce(c.n_context, 0) AS n_context FROM places p LEFT JOIN ctx c USING (chunk_id)"),
     "context_anchor_first": with_ctes(["chunks", "places", "near", "ctx"], "SELECT p.chunk_id, coalesce(c.context_tokens, 0) AS context_tokens, coalesce(c.n_context, 0) AS n_context FROM places p LEFT JOIN ctx c USING (chunk_id)", first="b.chunk_index <> a.chunk_index,"),
