@@ -53,6 +53,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_redacted, p4_found, p4_pieces, p7_containers, p8_found, p8_report, p9_found)}
 
+
+
+def _runs(key: str, text: str, name: str) -> str:
+    """All runs of 15 words of a table's texts."""
+    words = rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    lists = f"SELECT DISTINCT {key}, {words} AS w FROM {name} WHERE {text} IS NOT NULL AND {key} IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i : i + 14], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 13)) AS i FROM ({lists}) WHERE len(w) >= 15)"
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'text', 'documents')}) JOIN ({_runs('item_id', 'passage', 'eval_passages')}) USING (run)"
+
 SQL = {
     "p4_found": r"SELECT DISTINCT chunk_id FROM note_chunks WHERE 13 * length(regexp_extract_all(text, '\S+')) // 10 > 384",
+    "p8_found": _LEAKS,
+    "p8_report": f"SELECT item_id, n_documents, set_name FROM (SELECT item_id, count(*) AS n_documents FROM ({_LEAKS}) GROUP BY item_id) JOIN (SELECT DISTINCT item_id, set_name FROM eval_passages) USING (item_id)",
 }
