@@ -65,6 +65,8 @@ _ADDRESS = re.compile(
     rf"|(?i:P\.?[ ]?O\.?[ ]?Box)[ \t]+\d+){_UNIT}{_TOWN}"
 )
 _WORDS = re.compile(r"[\p{L}][\p{L}'’-]*\p{L}")
+#: Signs that tie a word to the one before or after it, as in a mailbox.
+_JOINED, _FOLLOWED = frozenset("@._+-"), frozenset("@_-")
 
 
 @lru_cache(maxsize=1)
@@ -209,14 +211,22 @@ def _again(text: str, kept: list[tuple[int, int, str]]) -> list[tuple[int, int,
         return []
     taken = sorted((s, e) for s, e, _ in kept)
     found, i = [], 0
-    for m in re.compile(rf"(?<![\p{{L}}\p{{N}}@._+-])(?:{'|'.join(sorted(map(re.escape, words), key=len, reverse=True))})(?![\p{{L}}\p{{N}}@_-])").finditer(text):
-        while i < len(taken) and taken[i][1] <= m.start():
+    for m in _WORDS.finditer(text):
+        word, start, end = m.group(), m.start(), m.end()
+        if word not in words:
+            # A possessive ends with the name.
+            if word[-2:] not in ("'s", "’s") or word[:-2] not in words:
+                continue
+            end -= 2
+        if text[start - 1 : start] in _JOINED and start or text[end : end + 1] in _FOLLOWED and end < len(text) or text[start - 1 : start].isnumeric() or text[end : end + 1].isnumeric():
+            continue
+        while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if i == len(taken) or taken[i][0] >= m.end():
-            if found and text[found[-1][1] : m.start()].strip(" ,") == "" and m.start() - found[-1][1] <= 2:
-                found[-1] = (found[-1][0], m.end(), "PERSON")
+        if i == len(taken) or taken[i][0] >= end:
+            if found and text[found[-1][1] : start].strip(" ,") == "" and start - found[-1][1] <= 2:
+                found[-1] = (found[-1][0], end, "PERSON")
             else:
-                found.append((m.start(), m.end(), "PERSON"))
+                found.append((start, end, "PERSON"))
     return found
 
 
