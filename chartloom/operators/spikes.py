@@ -2,14 +2,16 @@
 
 A series is one source's (here one patient's and item's) readings by time. Each reading is scored by a hidden
 Markov model with the states normal, spike, stuck and out of range; forward-backward probabilities and the hard
-bounds choose the flags. Series longer than ``block_rows`` are cut into blocks of whole days, each with a margin
-of readings from its neighbours, so a long series never lands in one task; the model's memory is far shorter than
-the margin.
+bounds choose the flags. Series longer than ``block_rows`` are cut into blocks by position, each with a margin
+of readings from its neighbours, so a long series' model never lands in one task; the model's memory is far shorter
+than the margin. What is judged by the whole series (scatter, grid, share of repeats) is measured in the blocks,
+gathered by series and handed back to each block, so the cut changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,12 @@ NEXT = np.log(np.array([[0.965, 0.010, 0.020, 0.005], [0.770, 0.200, 0.020, 0.01
 START = np.log(np.array([0.965, 0.010, 0.020, 0.005]))
 #: Median distance from the median of the neighbours, and 85 % quantile of the smaller distance from either side, of normal readings with scatter 1.
 USUAL_OFF, HIGH_APART = 0.72, 1.27
+HIGH, RUN = 0.85, 6
 SCHEMA = "labevent_id long, reading_kind string, posterior double"
+MEASURES = "subject_id long, itemid long, off double, apart double, size double, near boolean, tie boolean, loose boolean"
+SERIES = ["subject_id", "itemid"]
+#: Columns of a series' totals: see Totals.
+TOTALS = ("level", "high_apart", "size", "near", "tie", "loose", "n")
 
 
 def _sides(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,25 +103,37 @@ def _posteriors(emit: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return out
 
 
-def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, times: float = 8.0, shortest: int = 12, run: int = 6, least: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spike, stuck, posterior) of readings sorted by series and time; x in the common unit, number as recorded.
+class Measures(NamedTuple):
+    """What each reading shows by itself and its neighbours; off, apart and v are those of the possible readings."""
 
-    A reading is a spike or stuck if the model gives that state at least ``least`` and the exact rule agrees: a
-    spike is one of one or two consecutive possible readings more than ``times`` the series' scatter away from the
-    medians of the readings before and after; stuck are all members of a run of ``run`` equal numbers in one unit.
-    """
-    n = int(series.max()) + 1 if len(series) else 0
-    spike, stuck, posterior = np.zeros(len(x), bool), np.zeros(len(x), bool), np.zeros(len(x))
-    if not n:
-        return spike, stuck, posterior
+    run_length: np.ndarray
+    outside: np.ndarray
+    inside: np.ndarray
+    off: np.ndarray
+    apart: np.ndarray
+    usual: np.ndarray
+    near: np.ndarray
+
+
+class Totals(NamedTuple):
+    """Numbers of whole series: median off, high quantile of apart, median size; readings near a neighbour, tied, in no run, and all."""
+
+    level: np.ndarray
+    high_apart: np.ndarray
+    size: np.ndarray
+    near: np.ndarray
+    tie: np.ndarray
+    loose: np.ndarray
+    n: np.ndarray
+
+
+def _measures(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, run: int) -> Measures:
     same = np.zeros(len(x), bool)
     same[1:] = (series[1:] == series[:-1]) & (number[1:] == number[:-1]) & (unit[1:] == unit[:-1])
     group = np.cumsum(~same) - 1
     run_length = np.bincount(group)[group]
-    tied = run_length > 1
     outside = (x < low) | (x > high)
     inside = np.flatnonzero(~outside)
-
     s, v = series[inside], x[inside]
     edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.array([], int)
     size = np.diff(np.concatenate([edge, [len(s)]])).astype(int)
@@ -123,36 +142,60 @@ def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.
     off = np.abs(v - around)
     usual = ~np.isnan(off) & (run_length[inside] < run)
     apart = np.nan_to_num(np.minimum(np.abs(v - before), np.abs(v - after)), nan=0.0)  # without a side there is no level to be away from
-    scatter = _by_series(off[usual], s[usual], n) / USUAL_OFF
-    # Numbers on a coarse grid mostly repeat themselves and have a median of next to nothing: a high quantile then tells their scatter.
     near = np.zeros(len(x), bool)
     near[1:] = (series[1:] == series[:-1]) & (np.abs(x[1:] - x[:-1]) <= 0.002 * np.abs(x[1:]))
     near[:-1] |= near[1:]
-    coarse = np.bincount(series, near, n) > 0.5 * np.bincount(series, minlength=n)
-    scatter = np.where(coarse, np.fmax(scatter, _by_series(apart[usual], s[usual], n, 0.85) / HIGH_APART), scatter)
-    scatter = np.where(np.nan_to_num(scatter) > 0, scatter, np.maximum(np.nan_to_num(_by_series(np.abs(v), s, n)) * 0.005, 1e-9))
+    return Measures(run_length, outside, inside, off, apart, usual, near)
+
+
+def _totals(series: np.ndarray, x: np.ndarray, m: Measures, n: int, run: int) -> Totals:
+    s, loose = series[m.inside], m.run_length < run
+    return Totals(
+        _by_series(m.off[m.usual], s[m.usual], n), _by_series(m.apart[m.usual], s[m.usual], n, HIGH), _by_series(np.abs(x[m.inside]), s, n),
+        np.bincount(series, m.near, n), np.bincount(series[(m.run_length > 1) & loose], minlength=n), np.bincount(series[loose], minlength=n), np.bincount(series, minlength=n),
+    )
+
+
+def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, times: float = 8.0, shortest: int = 12, run: int = RUN, least: float = 0.02, totals: Totals | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spike, stuck, posterior) of readings sorted by series and time; x in the common unit, number as recorded.
+
+    A reading is a spike or stuck if the model gives that state at least ``least`` and the exact rule agrees: a
+    spike is one of one or two consecutive possible readings more than ``times`` the series' scatter away from the
+    medians of the readings before and after; stuck are all members of a run of ``run`` equal numbers in one unit.
+    ``totals`` are those of the whole series where the readings are only a part of it.
+    """
+    n = int(series.max()) + 1 if len(series) else 0
+    spike, stuck, posterior = np.zeros(len(x), bool), np.zeros(len(x), bool), np.zeros(len(x))
+    if not n:
+        return spike, stuck, posterior
+    m = _measures(series, x, number, unit, low, high, run)
+    run_length, outside, inside, apart = m.run_length, m.outside, m.inside, m.apart
+    tied, s = run_length > 1, series[inside]
+    whole = totals or _totals(series, x, m, n, run)
+    scatter = whole.level / USUAL_OFF
+    # Numbers on a coarse grid mostly repeat themselves and have a median of next to nothing: a high quantile then tells their scatter.
+    scatter = np.where(whole.near > 0.5 * whole.n, np.fmax(scatter, whole.high_apart / HIGH_APART), scatter)
+    scatter = np.where(np.nan_to_num(scatter) > 0, scatter, np.maximum(np.nan_to_num(whole.size) * 0.005, 1e-9))
     away = apart / scatter[s]
     emit = np.zeros((len(x), 4))
     z = np.zeros(len(x))
     z[inside] = away
     log_normal = np.logaddexp(-0.5 * z * z, np.log(1e-3) - z)  # normal readings with a heavy tail
-    ties = np.bincount(series[tied & (run_length < run)], minlength=n) / np.maximum(np.bincount(series[run_length < run], minlength=n), 1)
-    p_tie = np.clip(ties, 0.02, 0.3)[series]
+    p_tie = np.clip(whole.tie / np.maximum(whole.loose, 1), 0.02, 0.3)[series]
     emit[:, 0] = log_normal + np.where(tied, np.log(p_tie), np.log1p(-p_tie))
     emit[:, 1] = np.where(z > times, np.log(0.02), np.log(1e-8) + np.minimum(z, times)) + np.where(tied, np.log(p_tie), np.log1p(-p_tie))
     emit[:, 2] = np.where(run_length >= run, np.log(0.95), np.where(z > times, -20.0, np.where(tied, np.log(0.05), np.log(1e-3))))  # a short repeat far from the level is a spike twice
     emit[:, 3] = np.where(outside, 0.0, -60.0)
     emit[outside, :2] = -60.0
-    whole = np.flatnonzero(np.concatenate([[True], series[1:] != series[:-1]]))
-    length = np.diff(np.concatenate([whole, [len(series)]]))
-    post = _posteriors(emit, whole, length)
-
-    long_enough = (np.bincount(series, minlength=n) >= shortest)[series]
-    far = np.zeros(len(v), bool)
-    far[:] = away > times
-    kept = np.concatenate([[True], (far[1:] != far[:-1]) | (s[1:] != s[:-1])]) if len(v) else np.array([], bool)
+    first = np.flatnonzero(np.concatenate([[True], series[1:] != series[:-1]]))
+    length = np.diff(np.concatenate([first, [len(series)]]))
+    post = _posteriors(emit, first, length)
+
+    long_enough = (whole.n >= shortest)[series]
+    far = away > times
+    kept = np.concatenate([[True], (far[1:] != far[:-1]) | (s[1:] != s[:-1])]) if len(s) else np.array([], bool)
     part = np.cumsum(kept) - 1
-    short = np.bincount(part)[part] <= 2 if len(v) else np.array([], bool)
+    short = np.bincount(part)[part] <= 2 if len(s) else np.array([], bool)
     spike[inside] = far & short
     spike &= long_enough & (post[:, 1] >= least)
     stuck = (run_length >= run) & long_enough & (post[:, 2] >= least)
@@ -160,7 +203,15 @@ def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.
 
 
 def _flag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted readings in, flags out. A series that a batch may not end in waits for the next one."""
+    return _by_key(batches, _flag_table)
+
+
+def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_key(batches, _measure_table)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Sorted readings in, what ``of`` makes of them out. A series that a batch may not end in waits for the next one."""
     rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -174,9 +225,9 @@ def _flag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rest = t
             continue
         rest = t.slice(last[-1] + 1)
-        yield from _flag_table(t.slice(0, last[-1] + 1))
+        yield from of(t.slice(0, last[-1] + 1))
     if rest is not None and rest.num_rows:
-        yield from _flag_table(rest)
+        yield from of(rest)
 
 
 def _keys(t: pa.Table) -> np.ndarray:
@@ -190,41 +241,80 @@ def _flag_table(t: pa.Table) -> Iterator[pa.RecordBatch]:
     ids = t.column("labevent_id").to_numpy()
     fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])])  # redelivered rows count once
     t, key, ids = t.filter(pa.array(fresh)), key[fresh], ids[fresh]
-    get = lambda c, fill: t.column(c).fill_null(fill).to_numpy()
-    spike, stuck, p = flag_series(key, get("x", np.nan), get("num", np.nan), get("unit", 0), get("low", -np.inf), get("high", np.inf))
+    totals = None
+    if "n" in t.column_names:
+        first = pa.array(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
+        totals = Totals(*[t.column(c).take(first).fill_null(np.nan).to_numpy() for c in TOTALS])
+    spike, stuck, p = flag_series(key, *_readings(t), totals=totals)
     own = t.column("own").to_numpy(zero_copy_only=False)
     for kind, which in (("spike", spike & own), ("stuck", stuck & own)):
         if which.any():
             yield pa.RecordBatch.from_pydict({"labevent_id": ids[which], "reading_kind": [kind] * int(which.sum()), "posterior": p[which]})
 
 
-def _blocks(readings: DataFrame, block_rows: int) -> DataFrame:
-    """``readings`` with block and own: long series cut by days, with margins of their neighbours' readings (own = false)."""
-    series = ["subject_id", "itemid"]
-    counts = readings.groupBy(*series).count()
-    # At most one row for each block_rows readings.
-    long = F.broadcast(counts.where(F.col("count") > block_rows).select(*series, F.lit(True).alias("long")))
-    marked = readings.join(long, series, "left")
-    day = F.to_date("charttime")
-    whole = marked.where("long IS NULL").drop("long").withColumns({"block": F.lit(0), "own": F.lit(True)})
-    hot = marked.where("long").drop("long").withColumn("day", day)
-    days = hot.groupBy(*series, "day").count()
-    before = Window.partitionBy(*series).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*series, "day", F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / block_rows).cast("int").alias("raw"))
-    dense = Window.partitionBy(*series).orderBy("raw")
-    days = days.select(*[F.col(c).alias(f"_{c}") for c in (*series, "day")], (F.dense_rank().over(dense) - 1).alias("block"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*series, "day")]
-    cut_up = hot.join(days, on).drop(*[f"_{c}" for c in (*series, "day")], "day")
-    w = Window.partitionBy(*series, "block")
-    order = [F.col("charttime"), F.col("labevent_id")]
-    ends = cut_up.withColumns({"first": F.row_number().over(w.orderBy(*order)), "last": F.row_number().over(w.orderBy(*[c.desc() for c in order]))})
-    copies = F.array_compact(F.array(
-        F.struct(F.lit(0).alias("move"), F.lit(True).alias("own")),
-        F.when((F.col("first") <= MARGIN) & (F.col("block") > 0), F.struct(F.lit(-1).alias("move"), F.lit(False).alias("own"))),
-        F.when(F.col("last") <= MARGIN, F.struct(F.lit(1).alias("move"), F.lit(False).alias("own"))),
-    ))
-    parts = ends.withColumn("c", F.explode(copies)).withColumns({"block": (F.col("block") + F.col("c.move")).cast("int"), "own": F.col("c.own")}).drop("first", "last", "c")
-    return whole.unionByName(parts)
+def _readings(t: pa.Table) -> list[np.ndarray]:
+    return [t.column(c).fill_null(fill).to_numpy() for c, fill in (("x", np.nan), ("num", np.nan), ("unit", 0), ("low", -np.inf), ("high", np.inf))]
+
+
+def _measure_table(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One row for each of the blocks' own readings; off and apart only of usual ones, size only of possible ones."""
+    values = _readings(t)
+    m = _measures(_keys(t), *values, RUN)
+    off, apart, size = (np.full(t.num_rows, np.nan) for _ in range(3))
+    off[m.inside[m.usual]], apart[m.inside[m.usual]], size[m.inside] = m.off[m.usual], m.apart[m.usual], np.abs(values[0][m.inside])
+    loose = m.run_length < RUN
+    columns = [*[t.column(c).combine_chunks() for c in SERIES], *[pa.array(v, from_pandas=True) for v in (off, apart, size)], *[pa.array(v) for v in (m.near, (m.run_length > 1) & loose, loose)]]
+    out = pa.table(columns, names=[*SERIES, "off", "apart", "size", "near", "tie", "loose"])
+    yield from out.filter(t.column("own")).to_batches()
+
+
+def _numbered(hot: DataFrame) -> DataFrame:
+    """``hot`` with pos, the place in its series, and ipos, the number of possible readings before it (null for others).
+
+    Places are counted within days and added to the days' totals, so that no task sorts more than a day of a series.
+    """
+    day = hot.dropDuplicates([*SERIES, "charttime", "labevent_id"]).withColumns({"day": F.to_date("charttime"), "ok": (~F.coalesce((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.lit(False))).cast("int")})
+    day = cut(day)
+    before = Window.partitionBy(*SERIES).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    days = day.groupBy(*SERIES, "day").agg(F.count("*").alias("n"), F.sum("ok").alias("n_ok"))
+    days = days.select(*[F.col(c).alias(f"_{c}") for c in (*SERIES, "day")], total("n").alias("pos_0"), total("n_ok").alias("ipos_0"))
+    within = Window.partitionBy(*SERIES, "day").orderBy("charttime", "labevent_id").rowsBetween(Window.unboundedPreceding, 0)
+    places = day.withColumns({"k": F.row_number().over(within), "k_ok": F.sum("ok").over(within)})
+    placed = places.join(days, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*SERIES, "day")])
+    pos, ipos = F.col("pos_0") + F.col("k") - 1, F.when(F.col("ok") == 1, F.col("ipos_0") + F.col("k_ok") - 1)
+    return placed.withColumns({"pos": pos, "ipos": ipos}).drop(*[f"_{c}" for c in (*SERIES, "day")], "day", "ok", "k", "k_ok", "pos_0", "ipos_0")
+
+
+def _blocks(hot: DataFrame, block_rows: int) -> DataFrame:
+    """``hot`` with block and own: cut by place, with margins of the readings around a block (own = false).
+
+    A margin holds MARGIN readings and, where those are impossible, also the nearest MARGIN possible ones, however far they lie.
+    """
+    rows = cut(_numbered(hot).withColumn("block", F.floor(F.col("pos") / block_rows).cast("int")))
+    blocks = rows.groupBy(*SERIES, "block").agg(F.count("ipos").alias("n_ok"))
+    upto = F.sum("n_ok").over(Window.partitionBy(*SERIES).orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = blocks.withColumns({"ok_end": upto, "ok_start": upto - F.col("n_ok"), "start": F.col("block").cast("long") * block_rows, "end": (F.col("block").cast("long") + 1) * block_rows})
+    around = lambda a, b: F.explode(F.concat(F.sequence(F.col(a) - MARGIN, F.col(a) - 1), F.sequence(F.col(b), F.col(b) + MARGIN - 1)))
+    key = [*SERIES, F.col("block").alias("to")]
+    at = rows.join(blocks.select(*key, around("start", "end").alias("pos")), [*SERIES, "pos"])
+    at_ok = rows.join(blocks.select(*key, around("ok_start", "ok_end").alias("ipos")), [*SERIES, "ipos"]).where("block <> to")
+    margins = at.unionByName(at_ok).dropDuplicates([*SERIES, "to", "pos"]).withColumns({"block": F.col("to"), "own": F.lit(False)}).drop("to")
+    return rows.withColumn("own", F.lit(True)).unionByName(margins).drop("pos", "ipos")
+
+
+def _series_totals(measures: DataFrame) -> DataFrame:
+    """TOTALS of each series: the quantiles are picked by rank, exactly as ``_by_series`` does."""
+    counts = measures.groupBy(*SERIES).agg(*[F.count_if(c).cast("double").alias(c) for c in ("near", "tie", "loose")], F.count("*").cast("double").alias("n"))
+    kinds = (("off", "level", 0.5), ("apart", "high_apart", HIGH), ("size", "size", 0.5))
+    values = measures.select(*SERIES, F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(q).alias("q"), F.col(c).alias("value")) for c, name, q in kinds])).alias("v")).select(*SERIES, "v.*").where("value IS NOT NULL")
+    most = values.groupBy(*SERIES, "kind").agg((F.count("*") - 1).alias("most"))
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy(*SERIES, "kind").orderBy("value")) - 1).join(F.broadcast(most), [*SERIES, "kind"])
+    p = F.col("most") * F.col("q")
+    pick = lambda place: F.max(F.when(F.col("rank") == F.floor(place), F.col("value")))
+    picked = ranked.groupBy(*SERIES, "kind").agg(((pick(p) + pick(F.least(p + 0.5, F.col("most").cast("double")))) / 2).alias("value"))
+    wide = picked.groupBy(*SERIES).agg(*[F.max(F.when(F.col("kind") == name, F.col("value"))).alias(name) for _, name, _ in kinds])
+    return counts.join(wide, SERIES, "left").select(*SERIES, *TOTALS)
 
 
 def implausible(readings: DataFrame, block_rows: int = 8192) -> DataFrame:
@@ -233,15 +323,22 @@ def implausible(readings: DataFrame, block_rows: int = 8192) -> DataFrame:
     ``readings`` has labevent_id, subject_id, itemid, charttime, num (as recorded), unit (its number), x (in the
     common unit) and the bounds low and high, null where there is none. Readings without number are left out;
     those without time come first; equal times go by labevent_id; copies of a labevent_id count once. A series
-    has its impossible readings at any length, the rest from twelve readings on. A long series' scatter is that of
-    its block, which has whole days and about ``block_rows`` readings.
+    has its impossible readings at any length, the rest from twelve readings on. Series of more than ``block_rows``
+    readings are cut into blocks, which changes the work's layout but not what is found.
     """
-    readings = readings.select("labevent_id", "subject_id", "itemid", "charttime", "num", "unit", "x", "low", "high").where("labevent_id IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
+    readings = readings.select("labevent_id", *SERIES, "charttime", "num", "unit", "x", "low", "high").where("labevent_id IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
     outside = readings.where("x < low OR x > high").select("labevent_id", F.lit("impossible").alias("reading_kind"))
-    cut_up = _blocks(readings, block_rows)
-    key = ["subject_id", "itemid", "block"]
-    placed = cut_up.repartition(*key).sortWithinPartitions(*key, "charttime", "labevent_id")
-    flags = placed.select(*key, "labevent_id", "x", "num", "unit", "low", "high", "own").mapInArrow(_flag_batches, SCHEMA)
+    # At most one row for each block_rows readings.
+    long = cut(readings.groupBy(*SERIES).count().where(F.col("count") > block_rows).select(*SERIES))
+    columns = ["labevent_id", "x", "num", "unit", "low", "high", "own"]
+    key = [*SERIES, "block"]
+    placed = lambda df: df.repartition(*key).sortWithinPartitions(*key, "charttime", "labevent_id")
+    whole = readings.join(F.broadcast(long), SERIES, "left_anti").withColumns({"block": F.lit(0), "own": F.lit(True)})
+    flags = placed(whole).select(*key, *columns).mapInArrow(_flag_batches, SCHEMA)
+    if not long.isEmpty():
+        parts = cut(_blocks(readings.join(F.broadcast(long), SERIES), block_rows))
+        totals = cut(_series_totals(placed(parts).select(*key, *columns).mapInArrow(_measure_batches, MEASURES)))
+        flags = flags.unionByName(placed(parts.join(F.broadcast(totals), SERIES)).select(*key, *columns, *TOTALS).mapInArrow(_flag_batches, SCHEMA))
     return outside.unionByName(flags.select("labevent_id", "reading_kind")).distinct()
 
 

@@ -69,6 +69,25 @@ def test_blocks_agree_with_the_whole(spark):
     assert {(i, "stuck") for i in range(700, 708)} <= whole
 
 
+def test_blocks_take_the_scatter_of_the_whole_series(spark):
+    rng = random.Random(5)
+    values = [round(rng.gauss(300, 1 if i < 430 else 12), 2) for i in range(821)]  # the last block has 21 readings
+    for i in range(20, 810, 37):
+        values[i] += 18.0 if i < 430 else 130.0
+    for i in range(200, 330):
+        values[i] = 5000.0 + i  # a stretch without any possible reading, longer than a block and its margin
+    for hours in (0, 6):  # all within one day, or four a day
+        rows = series(1, values, 0, hours=hours)
+        rows += rows[100:300]  # delivered again
+        whole = found(spark, rows)
+        assert found(spark, rows, block_rows=100) == whole and len([r for r in whole if r[1] == "spike"]) > 5
+    grid = [float(rng.choice([50, 50, 50, 50, 51])) if i < 150 else round(rng.gauss(50, 3), 2) for i in range(400)]
+    for i in range(10, 390, 23):
+        grid[i] = 90.0
+    rows = series(2, grid, 5000, hours=5)
+    assert found(spark, rows, block_rows=100) == found(spark, rows)
+
+
 def test_model_adds_nothing_to_the_rule_and_keeps_its_cases():
     rng = np.random.default_rng(7)
     key = np.repeat(np.arange(200), 40)
