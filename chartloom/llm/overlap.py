@@ -1,13 +1,15 @@
 """Training examples of evaluation splits whose positive is also, or almost, in the training split.
 
-Texts that are equal but for case and punctuation form a class, and only its representative is compared. A representative
-gets a SimHash of 768 bits over its words, weighted by their rarity in the corpus. The code is cut into blocks of 16
-bits; representatives of both sides that share a block are candidates if 256 of the bits lie within the Hamming radius,
-and pairs if their words agree in order. Classes are expanded at the end, through an equi-join.
+Texts that are equal but for case and punctuation form a class, and only its representative is compared. Candidates are
+found exactly: two texts that agree in a share of the longer one's words have at least that many words in common, so
+they share one of the rarest words of each (a prefix just longer than what may differ), and their sketches, bits that
+each word flips, differ in no more bits than there are words not in common. Pairs are candidates whose words agree in
+order. Classes are expanded at the end, through an equi-join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,8 @@ from chartloom.sources.tables import cut
 
 LANES = 12
 BUCKETS = 1 << 18
+SKETCH = 256
+LANE_NAMES = tuple(f"c{i}" for i in range(SKETCH // 64))
 EVALUATION = {"val": "val", "validation": "val", "valid": "val", "dev": "val", "test": "test"}
 
 
@@ -66,19 +70,51 @@ def simhash(words: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.n
     return out
 
 
-def _codes(weights):
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of a text's words, different for each occurrence of a word: common numbers are common words with their counts."""
+    order = np.argsort(hashes, kind="stable")
+    run = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    at = np.arange(len(hashes))
+    times = np.empty(len(hashes), np.uint64)
+    times[order] = at - np.maximum.accumulate(np.where(run, at, 0))
+    x = (hashes ^ (times * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def sketch(numbers: np.ndarray) -> np.ndarray:
+    """SKETCH bits as 64-bit numbers, of which each number flips one."""
+    flips = np.bincount((numbers >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.packbits((flips & 1).astype(bool)).view(np.int64)
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("hashes")
+        words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+        parts = np.split(words, ends[:-1]) if len(ends) else []
+        rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate([numbered(w) for w in parts]).view(np.int64) if parts else np.array([], np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("class_id", "norm", "in_train", "in_eval")] + [rows], ["class_id", "norm", "in_train", "in_eval", "numbers"])
+
+
+def _prefixes(df, least: float):
+    """A text's sketch and its rarest words' numbers, so many that a text with ``least`` of its words has one of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        counts = df.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(part.schema.get_field_index("hashes"))
-                words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                codes = simhash(words, np.diff(lists.offsets.to_numpy()), w)
-                blocks = codes.view(np.uint16).astype(np.int32).reshape(len(codes), -1)
-                keys = blocks + (np.arange(blocks.shape[1], dtype=np.int32) << 16)[None, :]
-                lanes = [pa.array(codes[:, i].view(np.int64)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column("class_id"), part.column("in_train"), part.column("in_eval"), *lanes, pa.array(keys.tolist(), pa.list_(pa.int32()))], ["class_id", "in_train", "in_eval", "c0", "c1", "c2", "c3", "keys"])
+            lists = batch.column("numbers")
+            words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            lengths = np.diff(lists.offsets.to_numpy())
+            codes, keys = np.zeros((len(lengths), SKETCH // 64), np.int64), []
+            for k, (n, end) in enumerate(zip(lengths, np.cumsum(lengths))):
+                w = words[end - n : end]
+                codes[k] = sketch(w)
+                count = counts[(w & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                prefix = np.lexsort((w, count))[: n - math.ceil(least * n - 1e-9) + 1]
+                keys.append(w[prefix][count[prefix] > 1].view(np.int64))  # what one class has can't be shared
+            lanes = [pa.array(np.ascontiguousarray(codes[:, i])) for i in range(codes.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("class_id", "in_train", "in_eval")] + [pa.array(lengths, pa.int32()), *lanes, pa.array(keys, pa.list_(pa.int64()))], ["class_id", "in_train", "in_eval", "n", *LANE_NAMES, "keys"])
 
     return run
 
@@ -104,32 +140,31 @@ def _members(examples: DataFrame) -> DataFrame:
     return rows.withColumns({"in_train": F.col("split") == "train", "class_key": F.md5("norm")})
 
 
-def class_pairs(members: DataFrame, least: float = 0.85, radius: int = 72) -> DataFrame:
+def class_pairs(members: DataFrame, least: float = 0.85) -> DataFrame:
     """(class_e, class_t, agreement) of different classes, one in an evaluation split and one in train."""
     spark = members.sparkSession
     classes = members.groupBy("class_key").agg(F.first("norm").alias("norm"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")).withColumnRenamed("class_key", "class_id")
     hashes = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    classes = cut(classes.withColumn("hashes", hashes))
-    # Counts of the words' buckets over all classes: one number for each of BUCKETS buckets, whatever the corpus.
-    bucket = F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(BUCKETS - 1))))
-    counts = classes.select(F.explode(bucket).alias("b")).groupBy("b").count().toPandas()
-    n = max(1, classes.count())
-    df = np.zeros(BUCKETS)
+    classes = cut(classes.withColumn("hashes", hashes).mapInArrow(_numbers, "class_id string, norm string, in_train boolean, in_eval boolean, numbers array<bigint>"))
+    # Counts of the words' buckets over all classes: one number for each of BUCKETS buckets, whatever the corpus. They only order the words.
+    counts = classes.select(F.explode(F.transform("numbers", lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)))).alias("b"))
+    counts = counts.groupBy("b").count().toPandas()
+    df = np.zeros(BUCKETS, np.int64)
     df[counts["b"].to_numpy(np.int64)] = counts["count"]
-    # A word of one class can't agree with another's; very rare words weigh no more than those of a thousandth of the classes.
-    weights = np.where(df >= 2, np.log1p(n / np.maximum(df, max(2.0, n / 1000))), 0.0).astype(np.float32)
-    schema = "class_id string, in_train boolean, in_eval boolean, c0 bigint, c1 bigint, c2 bigint, c3 bigint, keys array<int>"
-    codes = classes.select("class_id", "in_train", "in_eval", "hashes").mapInArrow(_codes(spark.sparkContext.broadcast(weights)), schema)
+    schema = "class_id string, in_train boolean, in_eval boolean, n int, " + ", ".join(f"{c} bigint" for c in LANE_NAMES) + ", keys array<bigint>"
+    codes = classes.select("class_id", "in_train", "in_eval", "numbers").mapInArrow(_prefixes(spark.sparkContext.broadcast(df), least), schema)
     codes = cut(codes.select("*").withColumn("key", F.explode("keys")).drop("keys"))
-    side = lambda s, keep: codes.where(keep).select("key", F.col("class_id").alias(f"class_{s}"), *[F.col(f"c{i}").alias(f"{s}{i}") for i in range(4)])
-    distance = sum((F.bit_count(F.col(f"e{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4)), F.lit(0))
-    near = side("e", F.col("in_eval")).join(side("t", F.col("in_train")), "key").where((distance <= radius) & (F.col("class_e") != F.col("class_t"))).select("class_e", "class_t").distinct()
+    side = lambda s, keep: codes.where(keep).select("key", F.col("class_id").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in LANE_NAMES])
+    apart = sum((F.bit_count(F.col(f"e{c}").bitwiseXOR(F.col(f"t{c}"))) for c in LANE_NAMES), F.lit(0))
+    longer, both = F.greatest("n_e", "n_t"), F.col("n_e") + F.col("n_t")
+    may = (F.least("n_e", "n_t") >= longer * F.lit(least) - 1e-6) & (apart <= both - 2 * least * longer + 1e-6)
+    near = side("e", F.col("in_eval")).join(side("t", F.col("in_train")), "key").where(may & (F.col("class_e") != F.col("class_t"))).select("class_e", "class_t").distinct()
     text = lambda s: classes.select(F.col("class_id").alias(f"class_{s}"), F.col("norm").alias(f"text_{s}"))
     pairs = near.join(text("e"), "class_e").join(text("t"), "class_t").select("class_e", "class_t", "text_e", "text_t")
     return pairs.mapInArrow(_verify(least), "class_e string, class_t string, agreement double")
 
 
-def cross_split_pairs(examples: DataFrame, least: float = 0.85, radius: int = 72) -> DataFrame:
+def cross_split_pairs(examples: DataFrame, least: float = 0.85) -> DataFrame:
     """(example_id_a, example_id_b, eval_id, agreement), distinct with a < b: one row of train and one of val or test.
 
     Split names are read in any letter case; rows with another or no split, a null positive or one without words are
@@ -139,7 +174,7 @@ def cross_split_pairs(examples: DataFrame, least: float = 0.85, radius: int = 72
     members = cut(members.distinct())
     e = members.where("NOT in_train").select(F.col("example_id").alias("eval_id"), F.col("class_key").alias("class_e"))
     t = members.where("in_train").select(F.col("example_id").alias("train_id"), F.col("class_key").alias("class_t"))
-    near = class_pairs(members, least, radius).join(e, "class_e").join(t, "class_t").select("eval_id", "train_id", "agreement")
+    near = class_pairs(members, least).join(e, "class_e").join(t, "class_t").select("eval_id", "train_id", "agreement")
     equal = e.join(t, F.col("class_e") == F.col("class_t")).select("eval_id", "train_id", F.lit(1.0).alias("agreement"))
     pairs = equal.unionByName(near).where("eval_id <> train_id")
     return pairs.select(F.least("eval_id", "train_id").alias("example_id_a"), F.greatest("eval_id", "train_id").alias("example_id_b"), "eval_id", "agreement").distinct()

@@ -70,6 +70,30 @@ def test_against_every_pair(spark):
     assert sum(r.n_pairs for r in report) == len(got) and {r.split for r in report} == {"val", "test"}
 
 
+def test_no_pair_at_the_bound_is_lost(spark):
+    """10 to 15 % of the words differ and are rarer than those in common."""
+    rng = random.Random(6)
+    usual, rare = [f"w{i}" for i in range(60)], [f"r{i}" for i in range(400)]
+    rows, want = [], set()
+    for k in range(150):
+        n = rng.randrange(45, 149)
+        base = [rng.choice(usual) for _ in range(n)]
+        other = list(base)
+        changed = rng.sample(range(n), n - -(-85 * n // 100))
+        for i in changed:
+            base[i], other[i] = rng.sample(rare, 2)
+        rows += [(k, "train", "s", "q", " ".join(base)), (1000 + k, "val", "s", "q", " ".join(other))]
+        assert overlap.agreement(base, other) >= 0.85
+        want.add((k, 1000 + k))
+    rows += [(5000, "train", "s", "q", "a b c d e f"), (5001, "test", "s", "q", "a b c x d e f"), (5002, "train", "s", "q", "a b c d e"), (5003, "val", "s", "q", "a a a a a a a b"), (5004, "train", "s", "q", "a a a a a a a c")]
+    got = {(r.example_id_a, r.example_id_b) for r in overlap.cross_split_pairs(frame(spark, rows)).collect()}
+    assert got == want | {(5000, 5001), (5003, 5004)}
+    all_rows = make(9)
+    side = lambda s: "train" if (s or "").lower() == "train" else "eval" if (s or "").lower() in overlap.EVALUATION else None
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a in all_rows for b in all_rows if side(a[1]) == "train" and side(b[1]) == "eval" and words_of(a[4]) and overlap.agreement(words_of(a[4]), words_of(b[4])) >= 0.85}
+    assert {(r.example_id_a, r.example_id_b) for r in overlap.cross_split_pairs(frame(spark, all_rows)).collect()} == want
+
+
 def test_hot_class_and_very_long_text(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [(i, "train", "s", "q", "the same short text of a few words") for i in range(300)] + [(1000, "val", "s", "q", "The same: short text, of a few words"), (1001, "test", "s", "q", long), (1002, "train", "s", "q", long + " more")]
