@@ -61,18 +61,25 @@ def _pool(chunks: DataFrame, key: str, n: int) -> DataFrame:
     return first_rows(chunks.where(F.col(key).isNotNull()), [key], [F.md5(F.col("chunk_id").cast("string")), F.col("chunk_id")], n).drop("place")
 
 
+def _pool_by_admission(chunks: DataFrame, key: str, n: int) -> DataFrame:
+    """Of each key's chunks ``n``, taken from its admissions in turn: whatever admission is left out, half of the pool or all other chunks are there."""
+    draw = [F.md5(F.col("chunk_id").cast("string")), F.col("chunk_id")]
+    turns = first_rows(chunks.where(F.col(key).isNotNull()), [key, "hadm_id"], draw, n).withColumnRenamed("place", "turn")
+    return first_rows(turns, [key], [F.col("turn"), *draw], n).drop("place", "turn")
+
+
 def hard_negatives(examples: DataFrame, chunks: DataFrame, n: int = 5, pool: int = 40) -> DataFrame:
     """(example_id, chunk_id, neg_type, place): up to ``n`` negatives of each example.
 
     ``examples`` has example_id, subject_id, hadm_id and icd_code, ``chunks`` the same fields without example_id, and chunk_id. One chunk
     of the same patient's other admissions comes first, then chunks of other admissions with the same code up to three in all, then any
     chunks. Drawn by hashes from pools of at most ``pool`` chunks for each patient, code and bucket, so a frequent code costs no more than
-    a rare one. Few candidates give few negatives.
+    a rare one; the admissions of a patient or code take turns in its pool, so that a chunk of another admission is found wherever there is one. Few candidates give few negatives.
     """
     other = (F.col("c_hadm") != F.col("hadm_id")) | F.col("hadm_id").isNull()
     side = lambda p, key: p.select(F.col(key), F.col("chunk_id"), F.col("hadm_id").alias("c_hadm"), F.col("subject_id").alias("c_subject")) if key != "subject_id" else p.select("subject_id", "chunk_id", F.col("hadm_id").alias("c_hadm"), F.col("subject_id").alias("c_subject"))
-    one = examples.join(side(_pool(chunks, "subject_id", pool), "subject_id"), "subject_id").where(other).select("example_id", "chunk_id", F.lit(1).alias("tier"))
-    two = examples.join(side(_pool(chunks, "icd_code", pool), "icd_code"), "icd_code").where(other).select("example_id", "chunk_id", F.lit(2).alias("tier"))
+    one = examples.join(side(_pool_by_admission(chunks, "subject_id", pool), "subject_id"), "subject_id").where(other).select("example_id", "chunk_id", F.lit(1).alias("tier"))
+    two = examples.join(side(_pool_by_admission(chunks, "icd_code", pool), "icd_code"), "icd_code").where(other).select("example_id", "chunk_id", F.lit(2).alias("tier"))
     buckets = max(1, chunks.count() // pool)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
     spread = _pool(chunks.withColumn("bucket", bucket("chunk_id")), "bucket", pool).select("bucket", "chunk_id", F.col("hadm_id").alias("c_hadm"))

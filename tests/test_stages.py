@@ -167,6 +167,14 @@ def test_negatives(spark):
     assert out == mining.hard_negatives(examples, chunks, pool=10).collect() or len(out) == mining.hard_negatives(examples, chunks, pool=10).count()
 
 
+def test_negatives_beside_a_large_admission(spark):
+    many = [(i, 7, 1, "hot") for i in range(1000)] + [(2000, 7, 2, "x"), (2001, 8, 3, "hot"), (2002, 9, 4, "hot")]
+    chunks = spark.createDataFrame(many, "chunk_id bigint, subject_id int, hadm_id int, icd_code string")
+    examples = spark.createDataFrame([(1, 7, 1, "hot")], "example_id bigint, subject_id int, hadm_id int, icd_code string")
+    got = {(r.chunk_id, r.neg_type) for r in mining.hard_negatives(examples, chunks).collect()}
+    assert got == {(2000, "same_patient"), (2001, "same_code"), (2002, "same_code")}
+
+
 def test_answers(spark):
     asked = spark.createDataFrame([(1, "q", "[L1] Potassium 4", ""), (2, "q", "", "[S1] x\nHe slept well. More."), (3, "q", "", "")], "key bigint, question string, labs string, notes string")
     out = {r.key: r for r in answering.grounded_answers(asked).collect()}
