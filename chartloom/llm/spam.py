@@ -1,16 +1,18 @@
 """Pages made of keywords, links or product tags instead of sentences.
 
-A text is cut into blocks of whole lines. Each block's compressed size, with digits made alike, is held against the
-median of the prose blocks of its language and length: spam repeats itself where sentences vary. A block that is
-redundant in this way is confirmed by a low density of sentence ends, and then only those of its lines count that
-are no sentences and are made of links, tags and words of trade or navigation, or that repeat to an extreme; honest
-lists of drugs, results or references are redundant too, but of other words. A text is spam if such lines are the
-greater part of it.
+The sentences of a text are set apart from the rest: runs of words that end with a sentence's sign, unless a text begins
+most of its short ones alike. Both parts are cut into blocks, and each block is compressed twice: as it is, with digits made
+alike, and as a skeleton, in which longer words, numbers and addresses each become one sign, so that the repeated form of a
+list shows whatever its words are. Either size is held against the median of the sentence blocks of its language and length
+over the whole corpus. A block outside the sentences that is far more redundant than that is spam, unless it is a record:
+plain numbers and quantities, as medication, result and monitoring lists have them, without prices and addresses. A text
+is spam if such blocks are its greater part, so the density of sentences decides along with the redundancy.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,36 +20,34 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.sources.tables import cut
+from chartloom.sources.tables import broadcast_if_small, cut
 
-# Frequent words that tell a language, and words of trade and navigation in each.
+# Frequent words that tell a language. A text in another language is held against prose of all of them.
 STOPWORDS = {
     "en": "the of and to with was in for on is by after from",
     "de": "der die das und mit wurde bei nicht von im zu des sich",
     "fr": "le la les des et est une dans par du pour sous chez",
     "es": "el los las del con una por para se en es al su",
 }
-TRADE = (
-    "buy cheap cheapest discount discounts online pharmacy price prices order now best generic fast shipping no prescription sale deal deals offer shop store free delivery hot new stock coupon "
-    "kaufen günstig billig preis preise bestellen apotheke ohne rezept rezeptfrei beste bester angebot rabatt versand schnell schnelle schneller lieferung "
-    "acheter prix pas cher pharmacie commander en ligne sans ordonnance meilleur générique livraison rapide promo remise vente "
-    "comprar precio precios barato barata farmacia línea sin receta mejor genérico envío rápido oferta descuento venta pedir"
-).split()
-NAVIGATION = "home shop blog sitemap login about cart partners contact privacy terms checkout account faq categories tags archive startseite warenkorb anmelden impressum accueil panier connexion inicio carrito acceder".split()
-
-_TOKEN = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\b[^>\n]*>[^<\n]*</a>|(?:https?:)?//\S+|www\.\S+|(?<![\w@])[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.(?:com|net|org|info|biz|shop|test|example|invalid|io|co|ru|de|fr|es)\b\S*|#[\p{L}][\p{L}\p{N}_]*|SKU\s?\d+|[$€£]\s?\d[\d.,]*|★+|[\p{L}][\p{L}'’-]*|\d[\w.,:/%^-]*")
-_LINK = re.compile(r"^(?:\[|<a|https?:|//|www\.|#|SKU|[$€£★])|\.(?:com|net|org|info|biz|shop|test|example|invalid|io|co|ru|de|fr|es)\b")
-_SENTENCE = re.compile(r"[^\n.!?…]*(?:[.!?…](?!\s|$)[^\n.!?…]*)*[.!?…]+[\"')\]»”]*(?=\s|$)|[^\n]+")
-_ENDS = re.compile(rb"[.!?](?=[\s\"')]|$)")
-_SPACES = re.compile(rb"\s+")
-_DIGITS = bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPAM_WORDS = frozenset(TRADE) | frozenset(NAVIGATION)
-_STOPS = {k: frozenset(w.encode() for w in v.split()) for k, v in STOPWORDS.items()}
-BLOCK = 1000
-SCHEMA = "doc_id bigint, lang string, bucket int, n_chars int, ratio double, density double, spam_chars int, extreme_chars int"
-
 
-def _language(words: list[bytes]) -> str:
+BLOCK = 1000
+#: A block shorter than this has too little in it to repeat.
+SHORTEST = 160
+SCHEMA = "doc_id bigint, prose boolean, lang string, bucket int, n_chars int, ratio double, skeleton double, record double, address double, price double"
+
+_UNIT = re.compile(r"[^\n.!?…]*(?:[.!?…](?!\s|$)[^\n.!?…]*|(?<=\b\d{1,3})\.[^\n.!?…]*)*[.!?…]*[\"')\]»”]*\s*")
+_ENDED = re.compile(r"[.!?…][\"')\]»”]*\s*$")
+_WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*")
+_ADDRESS = re.compile(r"(?:\p{L}[\w+.-]*:)?//\S+|(?<![\w@])[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}(?:/\S*)?")
+_PRICE = re.compile(r"\p{Sc}\s?\d[\d.,]*|\b\d[\d.,]*\s?\p{Sc}")
+_TAG = re.compile(r"#\p{L}\w*")
+_ITEM = re.compile(r"(?m)^\s*\d{1,3}[.)]\s")
+_NUMBER = re.compile(r"(?<![\w.#-])[\d]+(?:[.,:/;-]\d+)*(?:%|(?=[\s,;.)]|$)|(?=\p{L}{1,5}\b))")
+_LONG, _DIGITS, _BREAKS, _BLANKS = re.compile(r"\p{L}[\p{L}\p{M}]{3,}"), re.compile(r"\d+(?:[.,:/]\d+)*"), re.compile(r"\s*\n\s*"), re.compile(r"[^\S\n]+")
+_STOPS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+
+
+def _language(words: list[str]) -> str:
     scores = {k: sum(w in s for w in words) for k, s in _STOPS.items()}
     best = max(scores, key=scores.get)
     return best if scores[best] * 25 >= len(words) else "none"
@@ -69,80 +69,89 @@ def blocks_of(text: str, size: int = BLOCK) -> list[str]:
     return out
 
 
-def spam_in(block: str) -> tuple[int, int]:
-    """(characters in lines of links, tags, trade and navigation; characters in lines without sentences and numbers)."""
-    spam = bare = 0
-    for line in block.split("\n"):
-        for m in _SENTENCE.finditer(line):
-            part = m.group()
-            tokens = _TOKEN.findall(part)
-            if not tokens:
-                spam += 0
-                continue
-            low = [t.lower() for t in tokens]
-            links = sum(bool(_LINK.search(t)) for t in low)
-            words = sum(t in _SPAM_WORDS for t in low)
-            ended = part.rstrip()[-1:] in ".!?…" and len(tokens) >= 4
-            share = (links + words) / len(tokens)
-            navigation = part.count(" > ") + part.count(" » ") + part.count(" | ")
-            n = len(part)
-            if links and sum(len(t) for t in tokens if _LINK.search(t.lower())) > 0.5 * n and not ended:
-                spam += n
-            elif not ended and (share >= 0.25 or links and share >= 0.12 or navigation * 4 > len(tokens)):
-                spam += n
-            elif ended and share >= 0.5:
-                spam += n
-            elif not ended and not any(t[0].isdigit() for t in tokens):
-                bare += n
-    return spam, bare
+def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share: float = 0.5) -> tuple[str, str]:
+    """(sentences, rest) of a text.
+
+    A sentence ends with a sentence's sign and has at least ``fewest`` words. One of fewer than ``longest`` words counts
+    only if its first two words begin fewer than ``often`` of the text's sentences, or no more than a ``share`` of them.
+    """
+    units = []
+    for m in _UNIT.finditer(text):
+        unit = m.group()
+        if unit:
+            words = _WORD.findall(_ADDRESS.sub(" ", unit)) if _ENDED.search(unit) else []
+            units.append((unit, len(words), " ".join(words[:2]).lower()))
+    opened = Counter(o for _, n, o in units if n >= fewest)
+    total = opened.total()
+    sentences, rest = [], []
+    for unit, n, o in units:
+        repeated = n < longest and opened[o] >= often and opened[o] > share * total
+        (sentences if n >= fewest and not repeated else rest).append(unit)
+    return "".join(sentences), "".join(rest)
+
+
+def skeleton(block: str) -> str:
+    """``block`` with addresses, words of over three letters and numbers each made alike, the rest in lower case."""
+    plain = _LONG.sub("w", _ADDRESS.sub("u", block))
+    return _BLANKS.sub(" ", _BREAKS.sub("\n", _DIGITS.sub("0", plain))).lower()
+
+
+def _measures(block: str) -> tuple:
+    """(lang, bucket, n_chars, ratio, skeleton, record, address, price) of a block; the last three are numbers for each of its tokens."""
+    n = len(block.encode())
+    flat = _BLANKS.sub(" ", _BREAKS.sub("\n", _DIGITS.sub("0", block))).lower().encode()
+    words = [w.lower() for w in _WORD.findall(block)]
+    bare = _ITEM.sub("\n", _PRICE.sub(" ", _ADDRESS.sub(" ", block)))
+    tokens = max(1, len(block.split()))
+    address = len(_ADDRESS.findall(block)) + len(_TAG.findall(block))
+    # Thirds of octaves: within one the usual ratio hardly changes with the length.
+    bucket = round(3 * (n.bit_length() + n / (1 << n.bit_length())))
+    size = lambda raw: len(zlib.compress(raw, 6)) / max(1, n)
+    return _language(words), bucket, len(block), size(flat), size(skeleton(block).encode()), len(_NUMBER.findall(bare)) / tokens, address / tokens, len(_PRICE.findall(block)) / tokens
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5)
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for block in blocks_of(text):
-                raw = _SPACES.sub(b" ", block.encode()).translate(_DIGITS)
-                words = raw.split(b" ")
-                ends = len(_ENDS.findall(raw))
-                density = ends / max(1, len(words))
-                ratio = len(zlib.compress(raw, 1)) / max(1, len(raw))
-                spam, bare = spam_in(block) if density < 0.05 else (0, 0)
-                rows.append((doc, _language(words[:120]), len(raw).bit_length() * 2 + (len(raw) >> max(0, len(raw).bit_length() - 2) & 1), len(block), ratio, density, spam, bare))
+            for prose, part in zip((True, False), parted(text)):
+                rows += [(doc, prose, *_measures(block)) for block in blocks_of(part) if block]
         if rows:
-            columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def block_measures(documents: DataFrame, prose_density: float = 0.03) -> DataFrame:
-    """One row for each block of each text: its measures and ``usual``, the median ratio of prose like it.
+def block_measures(documents: DataFrame) -> DataFrame:
+    """One row for each block of each text's sentences (prose) and of the rest, with ``usual`` and ``usual_skeleton``.
 
-    Prose are the blocks with at least ``prose_density`` sentence ends a word. A block whose language can't be told
-    is held against prose of all languages, and so is one of a length at which its language has no prose; a length
-    without any prose has a null ``usual``.
+    These are the median ratios of the sentence blocks of its language and length. A block whose language can't be told, or
+    whose language has no sentences of that length, is held against those of all languages; a length without any sentences
+    has nulls.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("trim(text) <> ''")
     blocks = cut(rows.mapInArrow(_scan, SCHEMA))
-    prose = blocks.where(F.col("density") >= prose_density)
-    median = F.percentile_approx("ratio", 0.5, 1000)
-    # A few rows for each of the five languages, whatever the corpus.
-    by_language = prose.where("lang <> 'none'").groupBy("lang", "bucket").agg(median.alias("own"))
-    overall = prose.groupBy("bucket").agg(median.alias("any"))
-    joined = blocks.join(F.broadcast(by_language), ["lang", "bucket"], "left").join(F.broadcast(overall), "bucket", "left")
-    return joined.withColumn("usual", F.coalesce("own", "any")).drop("own", "any")
+    prose = blocks.where("prose")
+    medians = lambda p: [F.percentile_approx(c, 0.5, 1000).alias(f"{p}_{c}") for c in ("ratio", "skeleton")]
+    # A row for each language and third of an octave of length: at most some hundreds.
+    own = broadcast_if_small(cut(prose.where("lang <> 'none'").groupBy("lang", "bucket").agg(*medians("own"))), 10_000)
+    overall = broadcast_if_small(cut(prose.groupBy("bucket").agg(*medians("any"))), 10_000)
+    joined = blocks.join(own, ["lang", "bucket"], "left").join(overall, "bucket", "left")
+    return joined.withColumns({"usual": F.coalesce("own_ratio", "any_ratio"), "usual_skeleton": F.coalesce("own_skeleton", "any_skeleton")}).drop("own_ratio", "any_ratio", "own_skeleton", "any_skeleton")
 
 
-def spam_pages(documents: DataFrame, redundant: float = 1.25, extreme: float = 0.5, low_density: float = 0.05, part: float = 0.5) -> DataFrame:
+def spam_pages(documents: DataFrame, redundant: float = 0.75, record: float = 0.08, price: float = 0.05, part: float = 0.5) -> DataFrame:
     """(doc_id, spam_share) of the texts whose greater part is spam.
 
-    A block counts if its ratio is below ``redundant`` times the usual one, or there is no usual one, and it has fewer
-    than ``low_density`` sentence ends a word; below ``extreme`` times, lines without sentences and numbers count even
-    without words of trade. Null, empty and blank texts are none. Repeated rows of a doc_id count as one text of the same make-up.
+    A block outside the sentences is spam if either of its ratios is below ``redundant`` times the usual one, and it is no
+    record: for each token at least ``record`` plain numbers, fewer than ``price`` prices, and hardly more addresses and tags than
+    numbers. Blocks
+    of fewer than SHORTEST characters are none, and neither are those of a length without any sentences in the corpus
+    unless they are shorter than half of their plain size. Null, empty and blank texts are none. Repeated rows of a doc_id
+    count as one text of the same make-up.
     """
     blocks = block_measures(documents)
-    relative = F.coalesce(F.col("ratio") / F.col("usual"), F.lit(1.0))
-    counts = (relative < redundant) & (F.col("density") < low_density)
-    bad = F.when(counts, F.col("spam_chars") + F.when(relative < extreme, F.col("extreme_chars")).otherwise(0)).otherwise(0)
-    share = blocks.groupBy("doc_id").agg((F.sum(bad) / F.sum("n_chars")).alias("spam_share"))
+    relative = F.coalesce(F.least(F.col("ratio") / F.col("usual"), F.col("skeleton") / F.col("usual_skeleton")), 2 * F.col("ratio") * redundant)
+    is_record = (F.col("record") >= record) & (F.col("price") < price) & (F.col("address") < 1.25 * F.col("record"))
+    bad = ~F.col("prose") & (F.col("n_chars") >= SHORTEST) & (relative < redundant) & ~is_record
+    share = blocks.groupBy("doc_id").agg((F.sum(F.when(bad, F.col("n_chars")).otherwise(0)) / F.sum("n_chars")).alias("spam_share"))
     return share.where(F.col("spam_share") > part)

@@ -54,3 +54,32 @@ def test_blocks_hold_the_text():
 
 def test_empty(spark):
     assert spam.spam_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+WORDS = {
+    "it": ("amlodipina ramipril metformina digoxina".split(), ["prezzo", "comprare", "migliore", "sconto", "farmacia"]), "nl": ("amlodipine ramipril metformine digoxine".split(), ["kopen", "goedkoop", "korting", "bestellen", "zonder recept"]),
+    "unlisted": ("premium wholesale handbag watches".split(), ["bargain", "outlet", "luxury", "replica", "clearance"]),
+}
+
+
+def test_words_and_languages_that_no_list_has(spark):
+    rng = random.Random(3)
+    _, _, rest = pages()
+    pair = lambda k: f"{rng.choice(WORDS[k][0])} {rng.choice(WORDS[k][1])}"
+    towns = [a + b for a in ("Oak", "Ash", "Elm", "Fir", "Bay") for b in ("ton", "ville", "ford", "mere")]
+    bad = [sep.join(pair(k) for _ in range(120)) for k in WORDS for sep in (" ", ", ", " | ", "\n")]
+    bad += [" ".join(f"Premium handbag {rng.choice(['near', 'in', '-'])} {rng.choice(towns)}." for _ in range(60)), "\n".join(f"* {pair('nl')} {rng.choice(towns).lower()}{rng.randrange(99)}.winkel.nl" for _ in range(40))]
+    # Lines of keywords among sentences, the keywords being the greater part.
+    bad.append("\n".join(x for i in range(12) for x in (" ".join(pair("it") for _ in range(14)), rest[i].split(".")[0] + ".")))
+    good = ["\n".join(x for i in range(12) for x in (pair("it"), rest[i].split(".")[0] + "."))]
+    good += ["\n".join(f"{rng.choice('sodium potassium glucose urea'.split())} {rng.randrange(10, 900) / 10} mmol/L" for _ in range(50)), " ".join(f"{h}: denies {rng.choice('pain fever cough rash itching'.split())}, {rng.choice('swelling fatigue dizziness'.split())}." for h in "Heart Lungs Skin Neck Back Joints Head Eyes Abdomen Throat".split())]
+    rows = [*enumerate(bad), *enumerate(good, 100), *enumerate(rest, 200)]
+    got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame([(i, t, None, 1, "c", None) for i, t in rows], SCHEMA)).collect()}
+    assert got == set(range(len(bad)))
+
+
+def test_the_ratio_decides(spark):
+    bad, _, rest = pages()
+    df = spark.createDataFrame([(i, t, None, 1, "c", None) for i, t in [*enumerate(bad), *enumerate(rest, 200)]], SCHEMA)
+    found = [spam.spam_pages(df, redundant=r).count() for r in (0.0, 0.3, 0.75)]
+    assert found[0] == 0 and found[0] < found[1] < found[2] == len(bad)
