@@ -11,12 +11,12 @@ is spam if such blocks are its greater part, so the density of sentences decides
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +35,25 @@ BLOCK = 1000
 SHORTEST = 160
 SCHEMA = "doc_id bigint, prose boolean, lang string, bucket int, n_chars int, ratio double, skeleton double, record double, address double, price double"
 
-_UNIT = re.compile(r"[^\n.!?…]*(?:[.!?…](?!\s|$)[^\n.!?…]*|(?<=\b\d{1,3})\.[^\n.!?…]*)*[.!?…]*[\"')\]»”]*\s*")
-_ENDED = re.compile(r"[.!?…][\"')\]»”]*\s*$")
-_WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*")
-_ADDRESS = re.compile(r"(?:\p{L}[\w+.-]*:)?//\S+|(?<![\w@])[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}(?:/\S*)?")
-_PRICE = re.compile(r"\p{Sc}\s?\d[\d.,]*|\b\d[\d.,]*\s?\p{Sc}")
-_TAG = re.compile(r"#\p{L}\w*")
+_END = re.compile(r"""[.!?…]+["')\]»”]*(?=\s|$)|\n""")
+_ADDRESS = re.compile(r"(?:[^\W\d_][\w+.-]*:)?//\S+|(?<![\w@])[^\W_-][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}(?:/\S*)?|#[^\W\d_]\w*")
+_PRICE = re.compile(r"[$€£¥]\s?\d[\d.,]*|\b\d[\d.,]*\s?[$€£¥]")
 _ITEM = re.compile(r"(?m)^\s*\d{1,3}[.)]\s")
-_NUMBER = re.compile(r"(?<![\w.#-])[\d]+(?:[.,:/;-]\d+)*(?:%|(?=[\s,;.)]|$)|(?=\p{L}{1,5}\b))")
-_LONG, _DIGITS, _BREAKS, _BLANKS = re.compile(r"\p{L}[\p{L}\p{M}]{3,}"), re.compile(r"\d+(?:[.,:/]\d+)*"), re.compile(r"\s*\n\s*"), re.compile(r"[^\S\n]+")
-_STOPS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+_NUMBER = re.compile(r"(?<![\w.#-])\d+(?:[.,:/;-]\d+)*(?:%|(?=[\s,;.)]|$)|(?=[^\W\d_]{1,5}\b))")
+_LONG, _NUMBERS, _HOST = re.compile(rb"[a-z\x80-\xff]{4,}"), re.compile(rb"0[0.,:/]*"), re.compile(rb"\.[a-z]|//")
+#: Digits made alike, blanks made alike and ASCII letters in lower case.
+_FLAT = bytes(48 if 48 <= c <= 57 else 32 if c in b"\t\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_TELLS: dict[str, tuple[str, ...]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _w in _words.split():
+        _TELLS[_w] = (*_TELLS.get(_w, ()), _lang)
 
 
 def _language(words: list[str]) -> str:
-    scores = {k: sum(w in s for w in words) for k, s in _STOPS.items()}
-    best = max(scores, key=scores.get)
+    scores = Counter(lang for w in words if w in _TELLS for lang in _TELLS[w])
+    if not scores:
+        return "none"
+    best = max(STOPWORDS, key=lambda k: scores[k])
     return best if scores[best] * 25 >= len(words) else "none"
 
 
@@ -69,6 +73,18 @@ def blocks_of(text: str, size: int = BLOCK) -> list[str]:
     return out
 
 
+def _units(text: str) -> Iterator[tuple[str, bool]]:
+    """Pieces of ``text`` up to a sentence's sign or a line's end, and whether it was the former; an item's number is no end."""
+    start = 0
+    for m in _END.finditer(text):
+        ended = m.group() != "\n"
+        if not ended or not text[start : m.start()].strip().isdigit():
+            yield text[start : m.end()], ended
+            start = m.end()
+    if start < len(text):
+        yield text[start:], False
+
+
 def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share: float = 0.5) -> tuple[str, str]:
     """(sentences, rest) of a text.
 
@@ -76,11 +92,12 @@ def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share:
     only if its first two words begin fewer than ``often`` of the text's sentences, or no more than a ``share`` of them.
     """
     units = []
-    for m in _UNIT.finditer(text):
-        unit = m.group()
-        if unit:
-            words = _WORD.findall(_ADDRESS.sub(" ", unit)) if _ENDED.search(unit) else []
-            units.append((unit, len(words), " ".join(words[:2]).lower()))
+    for unit, ended in _units(text):
+        words = unit.split()
+        if not words and units:
+            units[-1][0] += unit
+        else:
+            units.append([unit, len(words) if ended else 0, " ".join(words[:2]).lower()])
     opened = Counter(o for _, n, o in units if n >= fewest)
     total = opened.total()
     sentences, rest = [], []
@@ -90,24 +107,28 @@ def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share:
     return "".join(sentences), "".join(rest)
 
 
-def skeleton(block: str) -> str:
-    """``block`` with addresses, words of over three letters and numbers each made alike, the rest in lower case."""
-    plain = _LONG.sub("w", _ADDRESS.sub("u", block))
-    return _BLANKS.sub(" ", _BREAKS.sub("\n", _DIGITS.sub("0", plain))).lower()
+def skeleton(flat: bytes) -> bytes:
+    """A block's form: words of over three letters, numbers and addresses each made alike."""
+    if _HOST.search(flat):
+        flat = b"\n".join(b" ".join(b"u" if _HOST.search(x) else x for x in line.split(b" ")) for line in flat.split(b"\n"))
+    return _NUMBERS.sub(b"0", _LONG.sub(b"w", flat))
 
 
-def _measures(block: str) -> tuple:
-    """(lang, bucket, n_chars, ratio, skeleton, record, address, price) of a block; the last three are numbers for each of its tokens."""
-    n = len(block.encode())
-    flat = _BLANKS.sub(" ", _BREAKS.sub("\n", _DIGITS.sub("0", block))).lower().encode()
-    words = [w.lower() for w in _WORD.findall(block)]
-    bare = _ITEM.sub("\n", _PRICE.sub(" ", _ADDRESS.sub(" ", block)))
-    tokens = max(1, len(block.split()))
-    address = len(_ADDRESS.findall(block)) + len(_TAG.findall(block))
+def _measures(block: str, prose: bool) -> tuple:
+    """(lang, bucket, n_chars, ratio, skeleton, record, address, price) of a block; the last three are numbers for each of its tokens, and 0 in prose."""
+    raw = block.encode()
+    n = len(raw)
+    words = block.lower().split()
     # Thirds of octaves: within one the usual ratio hardly changes with the length.
     bucket = round(3 * (n.bit_length() + n / (1 << n.bit_length())))
-    size = lambda raw: len(zlib.compress(raw, 6)) / max(1, n)
-    return _language(words), bucket, len(block), size(flat), size(skeleton(block).encode()), len(_NUMBER.findall(bare)) / tokens, address / tokens, len(_PRICE.findall(block)) / tokens
+    flat = raw.translate(_FLAT)
+    size = lambda x: len(zlib.compress(x, 6)) / max(1, n)
+    record = address = price = 0.0
+    if not prose and n >= SHORTEST:
+        tokens = max(1, len(words))
+        bare = _ITEM.sub("\n", _PRICE.sub(" ", _ADDRESS.sub(" ", block)))
+        record, address, price = len(_NUMBER.findall(bare)) / tokens, len(_ADDRESS.findall(block)) / tokens, len(_PRICE.findall(block)) / tokens
+    return _language(words), bucket, len(block), size(flat), size(skeleton(flat)), record, address, price
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +137,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for prose, part in zip((True, False), parted(text)):
-                rows += [(doc, prose, *_measures(block)) for block in blocks_of(part) if block]
+                rows += [(doc, prose, *_measures(block, prose)) for block in blocks_of(part)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
