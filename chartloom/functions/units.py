@@ -33,25 +33,27 @@ SPELLINGS = {
 }
 
 
-def spellings_of(unit: str) -> list[str]:
-    """Keys under which ``unit`` may be written: its own, listed ones, and those made by rule.
+def spellings(unit: Column) -> Column:
+    """The keys under which ``unit`` may be written: its own, listed ones, and those made by rule; none of a null.
 
     The rules: a micro prefix is u, mc or micro; a slash may be the word per; a litre may be written out.
     """
-    own = unit.lower().replace("µ", "u").replace("μ", "u").replace(" ", "")
-    found = [own, *SPELLINGS.get(own, ())]
-    for x in list(found):
-        if x.startswith("u") and "/" in x and not x.startswith("units"):
-            found += ["mc" + x[1:], "micro" + x[1:]]
-    for x in list(found):
-        if x.endswith("/ul"):
-            found.append(x[:-3] + "/mcl")
-        if x.count("/") == 1 and not x.startswith("/"):
-            a, b = x.split("/")
-            found.append(f"{a}per{b}")
-            if b == "l":
-                found += [f"{a}perliter", f"{a}perlitre", f"{a}/liter", f"{a}/litre"]
-    return list(dict.fromkeys(found))
+    own = F.lower(F.regexp_replace(F.translate(unit, "µμ", "uu"), " ", ""))
+    listed = F.create_map(*[x for k, v in SPELLINGS.items() if v for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    more = lambda found, of: F.concat(found, F.flatten(F.transform(found, of)))
+    micro = lambda x: F.when(x.startswith("u") & x.contains("/") & ~x.startswith("units"), F.array(*[F.concat(F.lit(p), F.substring(x, 2, 1000)) for p in ("mc", "micro")])).otherwise(none)
+
+    def written_out(x: Column) -> Column:
+        a, b = F.substring_index(x, "/", 1), F.substring_index(x, "/", -1)
+        one = (F.length(x) - F.length(F.translate(x, "/", "")) == 1) & ~x.startswith("/")
+        mcl = F.when(x.endswith("/ul"), F.array(F.concat(a, F.lit("/mcl")))).otherwise(none)
+        per = F.when(one, F.array(F.concat(a, F.lit("per"), b))).otherwise(none)
+        litre = F.when(one & (b == "l"), F.array(*[F.concat(a, F.lit(w)) for w in ("perliter", "perlitre", "/liter", "/litre")])).otherwise(none)
+        return F.concat(mcl, per, litre)
+
+    found = F.concat(F.array(own), F.coalesce(listed[own], none))
+    return F.when(unit.isNull(), none).otherwise(F.array_distinct(more(more(found, micro), written_out)))
 
 
 def unit_key(text: Column) -> Column:

@@ -20,6 +20,10 @@ def p1_converted(spark: SparkSession, d: str) -> DataFrame:
     return units.common_values(*_labs(spark, d))
 
 
+def p1_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return units.unit_calibration(*_labs(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     t = [table(spark, d, n) for n in ("labevents", "diagnoses_icd", "admissions", "d_labitems")]
     return orphans.lab_and_diagnosis_orphans(*t)
@@ -33,7 +37,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(spikes.lab_readings(*_labs(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_converted, p5_found, p5_report, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_converted, p1_calibration, p5_found, p5_report, p6_found)}
 
 _ORPHANS = """
 WITH adm AS (

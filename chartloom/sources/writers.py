@@ -29,29 +29,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("embedding", F.col("embedding").cast("array<float>")).write.mode("append").parquet(path)
 
 
-def log_load(spark: SparkSession, path: str, table: str, source: str, rows: int, status: str = "ok", error: str | None = None) -> bool:
-    """Append a line to the log of loads; a failure to do so is reported and doesn't stop the load."""
+def log_load(spark: SparkSession, path: str, table: str, source: str, rows: int, status: str = "ok", error: str | None = None) -> str | None:
+    """Append a line to the log of loads. A failure to do so doesn't stop the load: its text is returned, else None."""
     try:
         row = spark.createDataFrame([(table, source, rows, status, error)], "table_name string, source_file string, rows_loaded bigint, status string, error string")
         row.withColumn("completed_at", F.current_timestamp()).write.mode("append").parquet(path)
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+        return None
+    except Exception as e:  # noqa: BLE001
+        return str(e)[:500]
 
 
 def load_logged(spark: SparkSession, log_path: str, table: str, source: str, load: Callable[[], DataFrame], path: str) -> int:
-    """Reload a table and log how many rows it has, counted as they are written, or what went wrong."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
+    """Reload a table and log how many rows it has, counted in what was written, or what went wrong."""
     try:
-        reload_table(load().observe(seen, F.count(F.lit(1)).alias("n")), path)
-        n = seen.get["n"]
-        log_load(spark, log_path, table, source, n)
-        return n
+        reload_table(load(), path)
+        n = spark.read.parquet(path).count()  # from the files' footers
     except Exception as e:
         log_load(spark, log_path, table, source, 0, "failed", str(e)[:500])
         raise
+    log_load(spark, log_path, table, source, n)
+    return n
 
 
 def export_json(df: DataFrame, path: str) -> None:

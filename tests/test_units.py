@@ -6,10 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from chartloom.functions.units import number_of, spellings_of
+from chartloom.functions.units import number_of, spellings
 from chartloom.operators import units
 
-LABS = "labevent_id bigint, subject_id int, itemid int, charttime timestamp_ntz, value string, valuenum double, valueuom string, ref_range_lower double, ref_range_upper double, comments string, uom string, num double, cand string, p double"
+LABS = "labevent_id bigint, subject_id int, itemid int, charttime timestamp_ntz, value string, valuenum double, valueuom string, ref_range_lower double, ref_range_upper double, priority string, comments string, uom string, num double, cand string, p double"
 FACTORS = "itemid int, uom string, factor double, shift double, cand string"
 ITEMS = "itemid int, label string, fluid string, category string, common_uom string, possible_low double, possible_high double, loaded_at timestamp_ntz"
 GLUCOSE = [(1, "mg/dL", 1.0, 0.0, "z"), (1, "mmol/L", 18.016, 0.0, "z"), (1, "g/L", 100.0, 0.0, "z"), (2, "deg C", 1.0, 0.0, "z"), (2, "deg F", 0.555556, -17.777778, "z"), (3, "U/L", 1.0, 0.0, "z")]
@@ -21,7 +21,7 @@ def tables(spark, labs):
 
 
 def lab(i, item, value, num, uom=None, low=None, high=None, comments=None):
-    return (i, 1, item, datetime(2150, 1, 1), value, num, uom, low, high, comments, "clash", 0.0, "clash", 0.5)
+    return (i, 1, item, datetime(2150, 1, 1), value, num, uom, low, high, None, comments, "clash", 0.0, "clash", 0.5)
 
 
 @pytest.mark.parametrize("text,want", [("4.26", 4.26), ("2,03", 2.03), ("11,500", 11500.0), ("0,854", 0.854), ("< 3", 3.0), ("LESS THAN 0.5 mg/dL", 0.5), (" -1 ", -1.0), ("1e3", 1000.0), ("QNS", None), ("", None), (None, None)])
@@ -29,8 +29,11 @@ def test_numbers(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(number_of(F.col("t"))).first()[0] == want
 
 
-def test_spellings():
-    assert {"umol/l", "mcmol/l", "micromol/l", "umolperl"} <= set(spellings_of("µmol/L"))
+def test_spellings(spark):
+    df = spark.createDataFrame([("µmol/L",), ("cells / uL",), ("U/L",), ("%",), (None,)], "u string")
+    got = [set(r[0] or ()) for r in df.select(spellings(F.col("u"))).collect()]
+    assert {"umol/l", "um", "mcmol/l", "micromol/l", "umolperl", "umol/litre", "micromolperliter"} <= got[0] and {"cells/ul", "/mm3", "cells/mcl", "cellsperul"} <= got[1]
+    assert got[2] == {"u/l", "units/l", "iu/l", "uperl", "unitsperl", "iuperl", *(f"{a}{b}" for a in ("u", "units", "iu", "mc", "micro") for b in ("/liter", "/litre", "perliter", "perlitre")), "mc/l", "micro/l", "mcperl", "microperl"} and got[3] == {"%", "percent", "pct"} and got[4] == set()
 
 
 def test_named_units(spark):
@@ -49,19 +52,27 @@ def test_named_units(spark):
     assert abs(common[1] - 90.08) < 1e-6 and abs(common[6] - 37.0) < 1e-3
 
 
-def test_inferred_units_have_held_out_accuracy(spark):
-    rng = random.Random(5)
-    ranges = {"mg/dL": (70.0, 140.0), "mmol/L": (3.89, 7.77), "g/L": (0.7, 1.4), "deg C": (36.0, 38.0), "deg F": (96.8, 100.4)}
+RANGES = {"mg/dL": (70.0, 140.0), "mmol/L": (3.89, 7.77), "g/L": (0.7, 1.4), "deg C": (36.0, 38.0), "deg F": (96.8, 100.4)}
+
+
+def hidden_labs(seed, n=1500):
+    """Results of two items, of which three in ten hide their unit; the truth by labevent_id."""
+    rng = random.Random(seed)
     factor = {u: (f, s) for _, u, f, s, _ in GLUCOSE}
     labs, truth = [], {}
-    for i in range(1500):
+    for i in range(n):
         item = rng.choice([1, 2])
         u = rng.choice(["mg/dL", "mmol/L", "g/L"] if item == 1 else ["deg C", "deg F"])
         x = rng.gauss(100, 15) if item == 1 else rng.gauss(37, 0.4)
         v = round((x - factor[u][1]) / factor[u][0], 3)
         hidden = rng.random() < 0.3
         truth[i] = (u, hidden)
-        labs.append(lab(i, item, str(v), v, None if hidden else u, *ranges[u]))
+        labs.append(lab(i, item, str(v), v, None if hidden else u, *RANGES[u]))
+    return labs, truth
+
+
+def test_inferred_units_have_held_out_accuracy(spark):
+    labs, truth = hidden_labs(5)
     out = units.resolve_units(*tables(spark, labs)).collect()
     asked = [r for r in out if truth[r.labevent_id][1]]
     sure = [r for r in asked if r.decision == "inferred"]
@@ -69,6 +80,49 @@ def test_inferred_units_have_held_out_accuracy(spark):
     assert len(sure) > 0.9 * len(asked) and sum(r.uom == truth[r.labevent_id][0] for r in sure) > 0.99 * len(sure)
 
 
+def test_units_after_a_logged_load(spark, tmp_path):
+    from chartloom.sources import writers
+
+    labs, _ = hidden_labs(6, 300)
+    path = str(tmp_path / "labs")
+    assert writers.load_logged(spark, str(tmp_path / "log"), "labs", "made", lambda: tables(spark, labs)[0], path) == 300
+    found = units.resolve_units(spark.read.parquet(path), *tables(spark, [])[1:])
+    assert found.where("decision = 'inferred'").count() > 50
+
+
+def test_many_answers_change_the_plan_only(spark):
+    labs, _ = hidden_labs(7, 400)
+    labs += [lab(1000 + i, 1, "5", 5.0) for i in range(5)] + [lab(2000, None, None, None), lab(None, 1, "5.5", 5.5, None, 3.89, 7.77)]
+    few, many = (sorted(map(repr, units.resolve_units(*tables(spark, labs), max_answers=m).drop("p").collect())) for m in (100_000, 3))
+    assert few == many and len(few) == len(labs)
+
+
+def test_units_that_look_alike_go_to_review(spark):
+    # Two units of nearly the same size, used equally often: neither number nor range tells them apart.
+    rng = random.Random(8)
+    factors = spark.createDataFrame([(1, "a", 1.0, 0.0, "z"), (1, "b", 1.02, 0.0, "z"), (1, "c", 40.0, 0.0, "z")], FACTORS)
+    labs, truth = [], {}
+    for i in range(1500):
+        u, hidden = rng.choice("aabbc"), rng.random() < 0.3
+        x = round(rng.gauss(100, 15) / {"a": 1.0, "b": 1.02, "c": 40.0}[u], 3)
+        truth[i] = (u, hidden)
+        labs.append(lab(i, 1, str(x), x, None if hidden else u, *((1.75, 3.5) if u == "c" else (70.0, 140.0))))
+    out = units.resolve_units(spark.createDataFrame(labs, LABS), factors, spark.createDataFrame(DICTIONARY, ITEMS)).collect()
+    by = {kind: [r for r in out if truth[r.labevent_id][1] and (truth[r.labevent_id][0] == "c") == (kind == "c")] for kind in ("ab", "c")}
+    assert sum(r.decision == "review" for r in by["ab"]) > 0.9 * len(by["ab"]) and all(0.2 < r.p < 0.8 for r in by["ab"] if r.decision == "review")
+    assert sum(r.decision == "inferred" and r.uom == "c" for r in by["c"]) > 0.9 * len(by["c"])
+    found = {r.labevent_id for r in units.other_units(spark.createDataFrame(labs, LABS), factors, spark.createDataFrame(DICTIONARY, ITEMS)).collect()}
+    assert not found & {r.labevent_id for r in out if r.decision == "review"}
+
+
+def test_probabilities_are_calibrated(spark):
+    labs, _ = hidden_labs(9)
+    rows = units.unit_calibration(*tables(spark, labs)).collect()
+    n = sum(r.n for r in rows)
+    assert n > 100 and sum(r.n * r.brier for r in rows) / n < 0.05 and all(abs(r.mean_p - r.share_right) < 0.15 for r in rows if r.n > 30)
+    assert units.unit_calibration(*tables(spark, [])).count() == 0
+
+
 def test_empty(spark):
     labs, factors, items = tables(spark, [])
     assert units.resolve_units(labs, factors, items).count() == 0
