@@ -1,11 +1,16 @@
 """Implausible readings of a series: spikes, stuck runs and impossible values.
 
-A series is one source's (here one patient's and item's) readings by time. Each reading is scored by a hidden
-Markov model with the states normal, spike, stuck and out of range; forward-backward probabilities and the hard
-bounds choose the flags. Series longer than ``block_rows`` are cut into blocks by position, each with a margin
-of readings from its neighbours, so a long series' model never lands in one task; the model's memory is far shorter
-than the margin. What is judged by the whole series (scatter, grid, share of repeats) is measured in the blocks,
-gathered by series and handed back to each block, so the cut changes no result.
+A series is one source's (here one patient's and item's) readings by time. Each series has a hidden Markov model with the
+states normal, spike (of one or two readings), stuck (of six or more) and out of range. Its emissions are how far a reading
+lies from the level before and after, in units of the series' own scatter, whether it repeats the number before it, and
+the hard bounds. How often a series has spikes, stuck runs and readings out of range, how often normal readings repeat
+themselves and how heavy the tail of their scatter is are fitted to each series in a few rounds of expectation and
+maximisation, and the forward-backward probabilities decide the flags.
+
+Series longer than ``block_rows`` are cut into blocks by position, each with a margin of readings from its neighbours, so a
+long series' model never lands in one task; the model's memory is far shorter than the margin. What is judged by the whole
+series (scatter, grid, share of repeats, the rounds of fitting) is summed over its blocks and handed back to each of them,
+so the cut changes no result.
 """
 
 from __future__ import annotations
@@ -23,17 +28,42 @@ from chartloom.sources.tables import broadcast_if_small, cut
 
 MARGIN = 64
 SIDE = 5
-#: Rows are log probabilities of the next state after normal, spike, stuck, out of range.
-NEXT = np.log(np.array([[0.965, 0.010, 0.020, 0.005], [0.770, 0.200, 0.020, 0.010], [0.090, 0.005, 0.900, 0.005], [0.770, 0.010, 0.020, 0.200]]))
-START = np.log(np.array([0.965, 0.010, 0.020, 0.005]))
 #: Median distance from the median of the neighbours, and 85 % quantile of the smaller distance from either side, of normal readings with scatter 1.
 USUAL_OFF, HIGH_APART = 0.72, 1.27
 HIGH, RUN = 0.85, 6
+#: A spike lies more than so many scatters from the level.
+TIMES = 8.0
+#: Rounds of fitting a series' model.
+ROUNDS = 2
+#: States: normal, first and second reading of a spike, the first to RUN-th and later readings of a stuck run, out of range.
+NORMAL, SPIKE, SECOND, STUCK, OUT = 0, 1, 2, 3, 3 + RUN
+STATES = OUT + 1
+
+
+def _transitions() -> np.ndarray:
+    """Probabilities of the next state; the row of the normal state is each series' own."""
+    m = np.zeros((STATES, STATES))
+    m[SPIKE, [NORMAL, SECOND, STUCK, OUT]] = 0.75, 0.20, 0.02, 0.03
+    m[SECOND, [NORMAL, SPIKE, STUCK, OUT]] = 0.93, 0.02, 0.02, 0.03
+    for k in range(STUCK, STUCK + RUN - 1):
+        m[k, k + 1] = 1.0
+    m[STUCK + RUN - 1, [NORMAL, SPIKE, STUCK + RUN - 1, OUT]] = 0.08, 0.01, 0.90, 0.01
+    m[OUT, [NORMAL, SPIKE, STUCK, OUT]] = 0.77, 0.01, 0.02, 0.20
+    return m
+
+
+NEXT = _transitions()
+#: A series doesn't end within the first readings of a stuck run.
+END = np.ones(STATES)
+END[STUCK : STUCK + RUN - 1] = 0.0
 SCHEMA = "labevent_id long, reading_kind string, posterior double"
 MEASURES = "subject_id long, itemid long, off double, apart double, size double, near boolean, tie boolean, loose boolean"
 SERIES = ["subject_id", "itemid"]
 #: Columns of a series' totals: see Totals.
 TOTALS = ("level", "high_apart", "size", "near", "tie", "loose", "n")
+#: What a round of fitting sums up: expected spikes, stuck runs, readings out of range, normal readings, those that repeat, those in the tail.
+SUMS = ("spikes", "runs", "outs", "normal", "repeats", "tail")
+SUM_SCHEMA = "subject_id long, itemid long, " + ", ".join(f"{c} double" for c in SUMS)
 
 
 def _sides(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,6 +79,16 @@ def _sides(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return _row_median(before), _row_median(after), _row_median(np.hstack([before, after]))
 
 
+def _second_nearest(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The second smallest distance to the two values before and the two after: small only where three or more lie together."""
+    at = np.arange(len(x))
+    far = np.full((len(x), 4), np.inf)
+    for j, k in enumerate((-2, -1, 1, 2)):
+        ok = (at + k >= start) & (at + k < end)
+        far[ok, j] = np.abs(x[at[ok] + k] - x[ok])
+    return np.partition(far, 1, axis=1)[:, 1] if len(x) else np.zeros(0)
+
+
 def _row_median(m: np.ndarray) -> np.ndarray:
     """Medians of rows in which nan marks places without a value; nan for rows without any."""
     n = (~np.isnan(m)).sum(1)
@@ -71,46 +111,54 @@ def _by_series(values: np.ndarray, series: np.ndarray, n: int, q: float = 0.5) -
     return np.where(count > 0, out, np.nan)
 
 
-def _posteriors(emit: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Forward-backward over all series at once, in groups of similar length: probability of each state."""
+def _posteriors(emit: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Forward-backward over all series at once, in groups of similar length: probability of each state.
+
+    ``rows`` has each series' probabilities of the state after a normal reading, which also begin it.
+    """
     out = np.empty_like(emit)
     order = np.argsort(length, kind="stable")
     at = 0
     while at < len(order):
         top = max(int(length[order[at]] * 1.25), 32)
         stop = np.searchsorted(length[order], top, side="right")
-        stop = min(max(stop, at + 1), at + max(1, 4_000_000 // top))
+        stop = min(max(stop, at + 1), at + max(1, 400_000 // top))
         group = order[at:stop]
         at = stop
         t = int(length[group].max())
         pos = start[group][:, None] + np.arange(t)[None, :]
         real = np.arange(t)[None, :] < length[group][:, None]
         e = np.where(real[..., None], emit[np.where(real, pos, 0)], 0.0)
-        p = np.exp(e - e.max(-1, keepdims=True))
-        step, forward = np.exp(NEXT), np.empty_like(p)
-        forward[:, 0] = p[:, 0] * np.exp(START)
+        p = np.exp(e - e.max(-1, keepdims=True)) + 1e-300
+        own, forward = rows[group], np.empty_like(p)
+        forward[:, 0] = p[:, 0] * own
         forward[:, 0] /= forward[:, 0].sum(-1, keepdims=True)
         for i in range(1, t):
-            f = (forward[:, i - 1] @ step) * p[:, i]
+            last = forward[:, i - 1]
+            f = (last @ NEXT + last[:, :1] * own) * p[:, i]
             forward[:, i] = f / f.sum(-1, keepdims=True)
-        back = np.ones((len(group), 4))
+        back = np.tile(END, (len(group), 1))
         for i in range(t - 1, -1, -1):
             post = forward[:, i] * back
             forward[:, i] = post / post.sum(-1, keepdims=True)
-            nxt = (back * p[:, i]) @ step.T
-            back = np.where(real[:, i : i + 1], nxt / nxt.sum(-1, keepdims=True), 1.0)
+            seen = back * p[:, i]
+            nxt = seen @ NEXT.T
+            nxt[:, 0] = (seen * own).sum(-1)
+            back = np.where(real[:, i : i + 1], nxt / nxt.sum(-1, keepdims=True), END)
         out[pos[real]] = forward[real]
     return out
 
 
 class Measures(NamedTuple):
-    """What each reading shows by itself and its neighbours; off, apart and v are those of the possible readings."""
+    """What each reading shows by itself and its neighbours; off, apart, lone and usual are those of the possible readings."""
 
     run_length: np.ndarray
+    same: np.ndarray
     outside: np.ndarray
     inside: np.ndarray
     off: np.ndarray
     apart: np.ndarray
+    lone: np.ndarray
     usual: np.ndarray
     near: np.ndarray
 
@@ -142,10 +190,11 @@ def _measures(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.nd
     off = np.abs(v - around)
     usual = ~np.isnan(off) & (run_length[inside] < run)
     apart = np.nan_to_num(np.minimum(np.abs(v - before), np.abs(v - after)), nan=0.0)  # without a side there is no level to be away from
+    lone = _second_nearest(v, start, end)
     near = np.zeros(len(x), bool)
     near[1:] = (series[1:] == series[:-1]) & (np.abs(x[1:] - x[:-1]) <= 0.002 * np.abs(x[1:]))
     near[:-1] |= near[1:]
-    return Measures(run_length, outside, inside, off, apart, usual, near)
+    return Measures(run_length, same, outside, inside, off, apart, lone, usual, near)
 
 
 def _totals(series: np.ndarray, x: np.ndarray, m: Measures, n: int, run: int) -> Totals:
@@ -156,50 +205,99 @@ def _totals(series: np.ndarray, x: np.ndarray, m: Measures, n: int, run: int) ->
     )
 
 
-def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, times: float = 8.0, shortest: int = 12, run: int = RUN, least: float = 0.02, totals: Totals | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Fitted(NamedTuple):
+    """A series' own numbers: rates of spikes, stuck runs and readings out of range, of repeats, and the weight of the tail."""
+
+    spikes: np.ndarray
+    runs: np.ndarray
+    outs: np.ndarray
+    repeats: np.ndarray
+    tail: np.ndarray
+
+
+def _fit(sums: dict[str, np.ndarray] | None, n: np.ndarray) -> Fitted:
+    """The numbers that a round's sums give, held by 50 readings' worth of what is usual; those alone before the first round.
+
+    A number repeated for a whole run is stuck by definition, so neither rare runs nor a coarse grid may explain it away:
+    the rate of runs isn't fitted below its start, nor that of repeats above 0.3.
+    """
+    rate = lambda c, usual, of: (usual * 50 + (sums[c] if sums else 0.0)) / (50 + of) if sums else np.full(len(n), usual)
+    normal = sums["normal"] if sums else n
+    return Fitted(rate("spikes", 0.01, n), np.maximum(rate("runs", 0.02, n), 0.02), rate("outs", 0.005, n), np.clip(rate("repeats", 0.05, normal), 0.02, 0.3), np.clip(rate("tail", 1e-3, normal), 1e-4, 0.2))
+
+
+def _emissions(m: Measures, away: np.ndarray, series: np.ndarray, fitted: Fitted, times: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log probabilities of what each reading shows in each state, share of the tail in that of a normal one)."""
+    tail = fitted.tail[series]
+    body, heavy = np.log1p(-tail) - 0.5 * away * away, np.log(tail) - away
+    near = np.logaddexp(body, heavy)
+    # Spikes lie beyond ``times`` scatters, with an edge of a twentieth of one, and anywhere there.
+    spike = np.log(0.02) - 0.5 * (np.maximum(times - away, 0.0) / 0.05) ** 2
+    repeat = fitted.repeats[series]
+    tied = np.where(m.same, np.log(repeat), np.log1p(-repeat))
+    emit = np.full((len(series), STATES), -700.0)
+    emit[:, NORMAL] = np.where(m.outside, -700.0, near + tied)
+    emit[:, SPIKE] = np.where(m.outside, -700.0, spike + tied)
+    emit[:, SECOND] = np.where(m.outside, -700.0, spike + np.log(0.5))
+    # A stuck run begins with a new number, which may lie anywhere, and then only repeats it.
+    anywhere = np.maximum(np.where(m.outside, -9.0, near), -4.0)
+    emit[:, STUCK] = np.where(m.same, -700.0, anywhere + np.log1p(-repeat))
+    emit[:, STUCK + 1 : OUT] = np.where(m.same, np.log(0.99) + anywhere, -700.0)[:, None]
+    emit[:, OUT] = np.where(m.outside, tied, -700.0)
+    return emit, np.exp(heavy - near)
+
+
+def _away(m: Measures, whole: Totals, series: np.ndarray) -> np.ndarray:
+    """How many scatters each reading lies from the level before and after; 0 where it is out of range or three or more lie together."""
+    scatter = whole.level / USUAL_OFF
+    # Numbers on a coarse grid mostly repeat themselves and have a median of next to nothing: a high quantile then tells their scatter.
+    scatter = np.where((whole.near > 0.5 * whole.n) | (whole.level == 0), np.fmax(scatter, whole.high_apart / HIGH_APART), scatter)
+    scatter = np.where(np.nan_to_num(scatter) > 0, scatter, np.maximum(np.nan_to_num(whole.size) * 0.005, 1e-9))
+    away = np.zeros(len(series))
+    away[m.inside] = np.minimum(np.minimum(m.apart, m.lone) / scatter[series[m.inside]], 1e6)
+    return away
+
+
+def _model(m: Measures, away: np.ndarray, series: np.ndarray, fitted: Fitted, times: float) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each state, share of the tail) of each reading."""
+    rows = np.zeros((len(fitted.spikes), STATES))
+    rows[:, SPIKE], rows[:, STUCK], rows[:, OUT] = fitted.spikes, fitted.runs, fitted.outs
+    rows[:, NORMAL] = 1.0 - rows.sum(1)
+    emit, tail = _emissions(m, away, series, fitted, times)
+    first = np.flatnonzero(np.concatenate([[True], series[1:] != series[:-1]]))
+    return _posteriors(emit, rows, first, np.diff(np.concatenate([first, [len(series)]]))), tail
+
+
+def _sums(m: Measures, post: np.ndarray, tail: np.ndarray, series: np.ndarray, n: int, own: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """SUMS of each series, over its own readings where a part of the others is only a margin."""
+    w = np.ones(len(series)) if own is None else own.astype(float)
+    add = lambda v: np.bincount(series, v * w, n)
+    normal = post[:, NORMAL]
+    return dict(zip(SUMS, (add(post[:, SPIKE]), add(post[:, STUCK]), add(post[:, OUT]), add(normal), add(normal * m.same), add(normal * tail))))
+
+
+def flag_series(series: np.ndarray, x: np.ndarray, number: np.ndarray, unit: np.ndarray, low: np.ndarray, high: np.ndarray, times: float = TIMES, shortest: int = 12, run: int = RUN, bound: float = 0.5, rounds: int = ROUNDS, totals: Totals | None = None, sums: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(spike, stuck, posterior) of readings sorted by series and time; x in the common unit, number as recorded.
 
-    A reading is a spike or stuck if the model gives that state at least ``least`` and the exact rule agrees: a
-    spike is one of one or two consecutive possible readings more than ``times`` the series' scatter away from the
-    medians of the readings before and after; stuck are all members of a run of ``run`` equal numbers in one unit.
-    ``totals`` are those of the whole series where the readings are only a part of it.
+    A reading is a spike or stuck if the series' model gives those states at least ``bound``. The model is fitted in
+    ``rounds`` rounds; ``totals`` and the last round's ``sums`` are those of the whole series where the readings are only a
+    part of it. Series of fewer than ``shortest`` readings have neither.
     """
     n = int(series.max()) + 1 if len(series) else 0
     spike, stuck, posterior = np.zeros(len(x), bool), np.zeros(len(x), bool), np.zeros(len(x))
     if not n:
         return spike, stuck, posterior
     m = _measures(series, x, number, unit, low, high, run)
-    run_length, outside, inside, apart = m.run_length, m.outside, m.inside, m.apart
-    tied, s = run_length > 1, series[inside]
     whole = totals or _totals(series, x, m, n, run)
-    scatter = whole.level / USUAL_OFF
-    # Numbers on a coarse grid mostly repeat themselves and have a median of next to nothing: a high quantile then tells their scatter.
-    scatter = np.where(whole.near > 0.5 * whole.n, np.fmax(scatter, whole.high_apart / HIGH_APART), scatter)
-    scatter = np.where(np.nan_to_num(scatter) > 0, scatter, np.maximum(np.nan_to_num(whole.size) * 0.005, 1e-9))
-    away = apart / scatter[s]
-    emit = np.zeros((len(x), 4))
-    z = np.zeros(len(x))
-    z[inside] = away
-    log_normal = np.logaddexp(-0.5 * z * z, np.log(1e-3) - z)  # normal readings with a heavy tail
-    p_tie = np.clip(whole.tie / np.maximum(whole.loose, 1), 0.02, 0.3)[series]
-    emit[:, 0] = log_normal + np.where(tied, np.log(p_tie), np.log1p(-p_tie))
-    emit[:, 1] = np.where(z > times, np.log(0.02), np.log(1e-8) + np.minimum(z, times)) + np.where(tied, np.log(p_tie), np.log1p(-p_tie))
-    emit[:, 2] = np.where(run_length >= run, np.log(0.95), np.where(z > times, -20.0, np.where(tied, np.log(0.05), np.log(1e-3))))  # a short repeat far from the level is a spike twice
-    emit[:, 3] = np.where(outside, 0.0, -60.0)
-    emit[outside, :2] = -60.0
-    first = np.flatnonzero(np.concatenate([[True], series[1:] != series[:-1]]))
-    length = np.diff(np.concatenate([first, [len(series)]]))
-    post = _posteriors(emit, first, length)
-
+    away = _away(m, whole, series)
+    if sums is None and totals is None:
+        for _ in range(rounds):
+            sums = _sums(m, *_model(m, away, series, _fit(sums, whole.n), times), series, n)
+    post, _ = _model(m, away, series, _fit(sums, whole.n), times)
+    p_spike, p_stuck = post[:, SPIKE] + post[:, SECOND], post[:, STUCK:OUT].sum(1)
     long_enough = (whole.n >= shortest)[series]
-    far = away > times
-    kept = np.concatenate([[True], (far[1:] != far[:-1]) | (s[1:] != s[:-1])]) if len(s) else np.array([], bool)
-    part = np.cumsum(kept) - 1
-    short = np.bincount(part)[part] <= 2 if len(s) else np.array([], bool)
-    spike[inside] = far & short
-    spike &= long_enough & (post[:, 1] >= least)
-    stuck = (run_length >= run) & long_enough & (post[:, 2] >= least)
-    return spike, stuck, np.where(spike, post[:, 1], np.where(stuck, post[:, 2], post[:, 3]))
+    spike, stuck = long_enough & (p_spike >= bound), long_enough & (p_stuck >= bound)
+    return spike, stuck, np.where(spike, p_spike, np.where(stuck, p_stuck, post[:, OUT]))
 
 
 def _flag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +308,10 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     return _by_key(batches, _measure_table)
 
 
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_key(batches, _sum_table)
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Sorted readings in, what ``of`` makes of them out. A series that a batch may not end in waits for the next one."""
     rest: pa.Table | None = None
@@ -236,22 +338,43 @@ def _keys(t: pa.Table) -> np.ndarray:
     return np.cumsum(change) - 1
 
 
-def _flag_table(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _fresh(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """``t`` with redelivered rows once, and the numbers of its series."""
     key = _keys(t)
     ids = t.column("labevent_id").to_numpy()
-    fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])])  # redelivered rows count once
-    t, key, ids = t.filter(pa.array(fresh)), key[fresh], ids[fresh]
-    totals = None
-    if "n" in t.column_names:
-        first = pa.array(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
-        totals = Totals(*[t.column(c).take(first).fill_null(np.nan).to_numpy() for c in TOTALS])
-    spike, stuck, p = flag_series(key, *_readings(t), totals=totals)
+    fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])])
+    return t.filter(pa.array(fresh)), key[fresh]
+
+
+def _of_series(t: pa.Table, key: np.ndarray) -> tuple[Totals | None, dict[str, np.ndarray] | None]:
+    """The totals and sums of whole series that came with their rows, if any."""
+    first = pa.array(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
+    take = lambda names: [t.column(c).take(first).fill_null(np.nan).to_numpy() for c in names]
+    return Totals(*take(TOTALS)) if "n" in t.column_names else None, dict(zip(SUMS, take(SUMS))) if SUMS[0] in t.column_names else None
+
+
+def _flag_table(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    t, key = _fresh(t)
+    ids = t.column("labevent_id").to_numpy()
+    totals, sums = _of_series(t, key)
+    spike, stuck, p = flag_series(key, *_readings(t), totals=totals, sums=sums)
     own = t.column("own").to_numpy(zero_copy_only=False)
     for kind, which in (("spike", spike & own), ("stuck", stuck & own)):
         if which.any():
             yield pa.RecordBatch.from_pydict({"labevent_id": ids[which], "reading_kind": [kind] * int(which.sum()), "posterior": p[which]})
 
 
+def _sum_table(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A round of fitting: one row of sums for each block."""
+    t, key = _fresh(t)
+    totals, sums = _of_series(t, key)
+    m = _measures(key, *_readings(t), RUN)
+    away, n = _away(m, totals, key), int(key.max()) + 1
+    out = _sums(m, *_model(m, away, key, _fit(sums, totals.n), TIMES), key, n, t.column("own").to_numpy(zero_copy_only=False))
+    first = pa.array(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])))
+    yield pa.RecordBatch.from_arrays([*[t.column(c).take(first).combine_chunks() for c in SERIES], *map(pa.array, out.values())], [*SERIES, *SUMS])
+
+
 def _readings(t: pa.Table) -> list[np.ndarray]:
     return [t.column(c).fill_null(fill).to_numpy() for c, fill in (("x", np.nan), ("num", np.nan), ("unit", 0), ("low", -np.inf), ("high", np.inf))]
 
@@ -338,7 +461,12 @@ def implausible(readings: DataFrame, block_rows: int = 8192) -> DataFrame:
     if not long.isEmpty():
         parts = cut(_blocks(readings.join(F.broadcast(long), SERIES), block_rows))
         totals = cut(_series_totals(placed(parts).select(*key, *columns).mapInArrow(_measure_batches, MEASURES)))
-        flags = flags.unionByName(placed(parts.join(F.broadcast(totals), SERIES)).select(*key, *columns, *TOTALS).mapInArrow(_flag_batches, SCHEMA))
+        # One row for each long series, which there is at most one of for block_rows readings.
+        known, more = parts.join(F.broadcast(totals), SERIES), TOTALS
+        for _ in range(ROUNDS):
+            sums = placed(known).select(*key, *columns, *more).mapInArrow(_sum_batches, SUM_SCHEMA).groupBy(*SERIES).agg(*[F.sum(c).alias(c) for c in SUMS])
+            known, more = parts.join(F.broadcast(totals.join(cut(sums), SERIES)), SERIES), (*TOTALS, *SUMS)
+        flags = flags.unionByName(placed(known).select(*key, *columns, *more).mapInArrow(_flag_batches, SCHEMA))
     return outside.unionByName(flags.select("labevent_id", "reading_kind")).distinct()
 
 

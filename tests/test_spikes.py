@@ -88,7 +88,7 @@ def test_blocks_take_the_scatter_of_the_whole_series(spark):
     assert found(spark, rows, block_rows=100) == found(spark, rows)
 
 
-def test_model_adds_nothing_to_the_rule_and_keeps_its_cases():
+def test_model_keeps_clear_cases():
     rng = np.random.default_rng(7)
     key = np.repeat(np.arange(200), 40)
     x = np.round(rng.normal(100, 3, len(key)), 2)
@@ -98,7 +98,56 @@ def test_model_adds_nothing_to_the_rule_and_keeps_its_cases():
     inner = np.ones(len(x), bool)
     inner[::40] = inner[39::40] = False
     assert (spike & ~hit).sum() == 0 and (spike & hit & inner).sum() >= 0.95 * (hit & inner).sum() and not stuck.any()
-    assert ((p[spike] > 0.02) & (p[spike] <= 1)).all()
+    assert ((p[spike] >= 0.5) & (p[spike] <= 1 + 1e-9)).all()
+
+
+def test_the_model_decides():
+    """Posteriors choose the rows: another bound gives other rows, and the distance or the run alone gives wrong ones."""
+    rng = np.random.default_rng(11)
+    key = np.repeat(np.arange(300), 60)
+    x = np.round(rng.normal(100, 3, len(key)), 1)
+    truth_spike, truth_stuck = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    for s in range(300):
+        at = s * 60 + int(rng.integers(8, 20))
+        x[at] += 8.2 * 3 if s % 2 else 60
+        truth_spike[at] = s % 2 == 0
+        at = s * 60 + int(rng.integers(24, 34))
+        x[at : at + 3] += 90  # three together are no spike
+        at = s * 60 + int(rng.integers(40, 50))
+        n = 5 + s % 2
+        x[at : at + n] = x[at]
+        truth_stuck[at : at + n] = n == 6
+    ends = (np.full(len(x), -np.inf), np.full(len(x), np.inf))
+    flags = lambda **k: spikes.flag_series(key, x, x, np.ones(len(x)), *ends, **k)
+    spike, stuck, _ = flags()
+    clear = truth_spike & (np.arange(len(x)) % 60 > 0)
+    assert (spike & clear).sum() == clear.sum() and (stuck & truth_stuck).sum() >= 0.97 * truth_stuck.sum()
+    strict, eager = flags(bound=0.9999), flags(bound=0.01)
+    assert (strict[0] & ~spike).sum() == 0 and (strict[0] | strict[1]).sum() < (spike | stuck).sum() <= (eager[0] | eager[1]).sum()
+    # Without the model: whatever lies far from both sides, and whatever repeats the number before or after it.
+    m = spikes._measures(key, x, x, np.ones(len(x)), *ends, spikes.RUN)
+    scatter = (spikes._totals(key, x, m, 300, spikes.RUN).level / spikes.USUAL_OFF)[key]
+    far = m.apart > 8 * scatter
+    precise = lambda found, truth: (found & truth).sum() / max(found.sum(), 1)
+    borderline = spike & ~truth_spike & (m.lone > 7 * scatter)  # those placed at 8.2
+    assert precise(far, truth_spike) < 0.5 and precise(spike & ~borderline, truth_spike) > 0.97
+    assert precise(m.run_length > 1, truth_stuck) < 0.6 and precise(stuck, truth_stuck) > 0.97
+
+
+def test_a_series_has_its_own_model():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.round(rng.normal(50, 2, 400), 1), rng.choice([50.0, 51.0, 52.0], 400)])
+    key = np.repeat([0, 1], 400)
+    x[np.arange(20, 390, 10)] += 60
+    ends = (np.full(800, -np.inf), np.full(800, np.inf))
+    m = spikes._measures(key, x, x, np.ones(800), *ends, spikes.RUN)
+    whole = spikes._totals(key, x, m, 2, spikes.RUN)
+    away, sums = spikes._away(m, whole, key), None
+    for _ in range(2):
+        fitted = spikes._fit(sums, whole.n)
+        sums = spikes._sums(m, *spikes._model(m, away, key, fitted, 8.0), key, 2)
+    fitted = spikes._fit(sums, whole.n)
+    assert 0.07 < fitted.spikes[0] < 0.12 and fitted.spikes[1] < 0.005 and fitted.repeats[1] > 0.25 > 0.15 > fitted.repeats[0]
 
 
 def test_empty(spark):
