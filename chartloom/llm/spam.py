@@ -85,10 +85,10 @@ def _units(text: str) -> Iterator[tuple[str, bool]]:
         yield text[start:], False
 
 
-def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share: float = 0.5) -> tuple[str, str]:
+def parted(text: str, fewest: int = 4, most: int = 50, longest: int = 9, often: int = 5, share: float = 0.5) -> tuple[str, str]:
     """(sentences, rest) of a text.
 
-    A sentence ends with a sentence's sign and has at least ``fewest`` words. One of fewer than ``longest`` words counts
+    A sentence ends with a sentence's sign and has ``fewest`` to ``most`` words. One of fewer than ``longest`` words counts
     only if its first two words begin fewer than ``often`` of the text's sentences, or no more than a ``share`` of them.
     """
     units = []
@@ -97,7 +97,7 @@ def parted(text: str, fewest: int = 4, longest: int = 9, often: int = 5, share:
         if not words and units:
             units[-1][0] += unit
         else:
-            units.append([unit, len(words) if ended else 0, " ".join(words[:2]).lower()])
+            units.append([unit, len(words) if ended and len(words) <= most else 0, " ".join(words[:2]).lower()])
     opened = Counter(o for _, n, o in units if n >= fewest)
     total = opened.total()
     sentences, rest = [], []

@@ -69,6 +69,7 @@ def test_words_and_languages_that_no_list_has(spark):
     towns = [a + b for a in ("Oak", "Ash", "Elm", "Fir", "Bay") for b in ("ton", "ville", "ford", "mere")]
     bad = [sep.join(pair(k) for _ in range(120)) for k in WORDS for sep in (" ", ", ", " | ", "\n")]
     bad += [" ".join(f"Premium handbag {rng.choice(['near', 'in', '-'])} {rng.choice(towns)}." for _ in range(60)), "\n".join(f"* {pair('nl')} {rng.choice(towns).lower()}{rng.randrange(99)}.winkel.nl" for _ in range(40))]
+    bad.append(" ".join(f"[{pair('it')}](http://a{rng.randrange(99)}.test/{rng.randrange(999)})" for _ in range(40)) + ".")
     # Lines of keywords among sentences, the keywords being the greater part.
     bad.append("\n".join(x for i in range(12) for x in (" ".join(pair("it") for _ in range(14)), rest[i].split(".")[0] + ".")))
     good = ["\n".join(x for i in range(12) for x in (pair("it"), rest[i].split(".")[0] + "."))]
