@@ -1,10 +1,13 @@
 """Training examples of evaluation splits whose positive is also, or almost, in the training split.
 
-Texts that are equal but for case and punctuation form a class, and only its representative is compared. Candidates are
-found exactly: two texts that agree in a share of the longer one's words have at least that many words in common, so
-they share one of the rarest words of each (a prefix just longer than what may differ), and their sketches, bits that
-each word flips, differ in no more bits than there are words not in common. Pairs are candidates whose words agree in
-order. Classes are expanded at the end, through an equi-join.
+Texts that are equal but for case and punctuation form a class, and only its representative is compared. A text's
+fingerprint is cut into segments, and each of its words, different for each occurrence, goes into one of them by its hash:
+the segment's code is the sum of its words' hashes. A word that only one of two texts has changes one segment, so texts that
+agree in a share of the longer one's words lie within a Hamming radius of (1 - share) twice the shorter one's words, in
+segments as in the bits of a sketch that each word flips. Two segments more than that radius make sure that two are equal:
+texts of the two sides are joined on segments, kept within the radius of the sketches' bits, and verified by the longest
+common subsequence of their words. Segments that too many pairs share are joined together with a second one.
+Classes are expanded at the end, through an equi-join, or only counted.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import functions as F
 
 from chartloom.sources.tables import cut
 
-LANES = 12
-BUCKETS = 1 << 18
 SKETCH = 256
 LANE_NAMES = tuple(f"c{i}" for i in range(SKETCH // 64))
+#: Texts are keyed by lengths that grow by this factor: the texts of one length share the number of segments.
+STEP = 1.1
+#: With more pairs than this on a segment it is joined together with one of the REACH segments after it.
+HOT_PAIRS, REACH = 2_000, 32
 EVALUATION = {"val": "val", "validation": "val", "valid": "val", "dev": "val", "test": "test"}
 
 
@@ -45,31 +50,6 @@ def agreement(a: list, b: list) -> float:
     return common_length(a, b) / longer if longer else 0.0
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """LANES pseudo-random 64-bit numbers for each hash."""
-    x = hashes[:, None] + np.arange(1, LANES + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def simhash(words: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Codes of texts, LANES 64-bit numbers each, from their words' hashes one after another; weights by hash bucket."""
-    out = np.zeros((len(lengths), LANES), np.uint64)
-    if not len(words):
-        return out
-    unique, where = np.unique(words, return_inverse=True)
-    signs = np.unpackbits(_mixed(unique).view(np.uint8).reshape(len(unique), -1), axis=1).astype(np.float32) * 2 - 1
-    signs *= weights[(unique & np.uint64(BUCKETS - 1)).astype(np.int64)][:, None]
-    ends = np.cumsum(lengths)
-    for k, (a, b) in enumerate(zip(ends - lengths, ends)):
-        total = np.zeros(LANES * 64, np.float32)
-        for at in range(a, b, 100_000):
-            total += signs[where[at : min(b, at + 100_000)]].sum(0)
-        out[k] = np.packbits(total > 0).view(np.uint64)
-    return out
-
-
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """Numbers of a text's words, different for each occurrence of a word: common numbers are common words with their counts."""
     order = np.argsort(hashes, kind="stable")
@@ -87,34 +67,56 @@ def sketch(numbers: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(bool)).view(np.int64)
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("hashes")
-        words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-        parts = np.split(words, ends[:-1]) if len(ends) else []
-        rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate([numbered(w) for w in parts]).view(np.int64) if parts else np.array([], np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("class_id", "norm", "in_train", "in_eval")] + [rows], ["class_id", "norm", "in_train", "in_eval", "numbers"])
+def length_class(n: int) -> int:
+    """The class of texts of ``n`` words: those of up to STEP to its power."""
+    k = max(0, math.ceil(math.log(max(n, 1)) / math.log(STEP) - 1e-9))
+    return k if n <= longest(k) else k + 1
+
+
+def longest(k: int) -> int:
+    """The most words of a text of class ``k``."""
+    return math.floor(STEP**k + 1e-9)
+
 
+def segments(k: int, least: float) -> int:
+    """Two more than the segments in which a text of class ``k`` can differ from one that agrees with it in ``least`` of the words."""
+    return math.floor(2 * (1 - least) * longest(k) + 1e-9) + 2
 
-def _prefixes(df, least: float):
-    """A text's sketch and its rarest words' numbers, so many that a text with ``least`` of its words has one of them."""
+
+def segment_codes(numbers: np.ndarray, count: int) -> np.ndarray:
+    """A code for each of ``count`` segments: odd for one with words, even for one without any."""
+    at = ((numbers >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0])) if len(at) else np.array([], np.int64)
+    codes = np.zeros(count, np.uint64)
+    if len(first):
+        codes[at[order][first]] = np.add.reduceat(numbers[order], first)
+    # The segment's place and the number of segments are part of the code, so that only like is joined with like.
+    mixed = (codes ^ (np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(count))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1) | (np.bincount(at, minlength=count) > 0).astype(np.uint64)
+
+
+def _fingerprints(least: float):
+    """Rows of codes: one for each side and length class that a text has to be found in."""
+    names = ["class_id", "train", "n", *LANE_NAMES, "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = df.value
         for batch in batches:
-            lists = batch.column("numbers")
+            lists = batch.column("hashes")
             words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             lengths = np.diff(lists.offsets.to_numpy())
-            codes, keys = np.zeros((len(lengths), SKETCH // 64), np.int64), []
-            for k, (n, end) in enumerate(zip(lengths, np.cumsum(lengths))):
-                w = words[end - n : end]
-                codes[k] = sketch(w)
-                count = counts[(w & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                prefix = np.lexsort((w, count))[: n - math.ceil(least * n - 1e-9) + 1]
-                keys.append(w[prefix][count[prefix] > 1].view(np.int64))  # what one class has can't be shared
-            lanes = [pa.array(np.ascontiguousarray(codes[:, i])) for i in range(codes.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("class_id", "in_train", "in_eval")] + [pa.array(lengths, pa.int32()), *lanes, pa.array(keys, pa.list_(pa.int64()))], ["class_id", "in_train", "in_eval", "n", *LANE_NAMES, "keys"])
+            rows: list[tuple] = []
+            for cid, in_train, in_eval, n, end in zip(batch.column("class_id").to_pylist(), batch.column("in_train").to_pylist(), batch.column("in_eval").to_pylist(), lengths.tolist(), np.cumsum(lengths).tolist()):
+                numbers = numbered(words[end - n : end])
+                bits = sketch(numbers).tolist()
+                own = length_class(n)
+                # A train text is found in its own class, an evaluation text wherever a train text of a fitting length may be.
+                reach = range(length_class(math.ceil(least * n - 1e-9)), length_class(math.floor(n / least + 1e-9)) + 1)
+                for train, ks in ((True, [own] if in_train else []), (False, reach if in_eval else [])):
+                    rows += [(cid, train, n, *bits, segment_codes(numbers, segments(k, least)).view(np.int64)) for k in ks]
+            if rows:
+                kinds = [pa.string(), pa.bool_(), pa.int32(), *[pa.int64()] * len(LANE_NAMES), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -140,25 +142,32 @@ def _members(examples: DataFrame) -> DataFrame:
     return rows.withColumns({"in_train": F.col("split") == "train", "class_key": F.md5("norm")})
 
 
-def class_pairs(members: DataFrame, least: float = 0.85) -> DataFrame:
+def _shared_segments(codes: DataFrame, hot_pairs: int) -> DataFrame:
+    """(train, code, class_id, n, lanes): segments that texts of both sides have, those of too many pairs with a second one."""
+    own = ["class_id", "train", "n", *LANE_NAMES]
+    one = codes.select(*own, F.posexplode("codes").alias("place", "code"), F.col("codes").alias("all")).where("code % 2 <> 0")
+    both = one.groupBy("code").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 AND e > 0")
+    # Only segments that both sides have go on.
+    both = cut(both.select("code", (F.col("t") * F.col("e") > hot_pairs).alias("hot")))
+    met = one.join(both, "code")
+    after = F.slice(F.concat("all", "all"), F.col("place") + 2, F.least(F.size("all") - 1, F.lit(REACH)))
+    pairs = met.where("hot").select(*own, F.explode(after).alias("second"), "code").select(*own, (F.least("code", "second")).alias("a"), F.greatest("code", "second").alias("b"))
+    return met.where("NOT hot").select(*own, "code").unionByName(pairs.select(*own, F.xxhash64("a", "b").alias("code")).distinct())
+
+
+def class_pairs(members: DataFrame, least: float = 0.85, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(class_e, class_t, agreement) of different classes, one in an evaluation split and one in train."""
-    spark = members.sparkSession
     classes = members.groupBy("class_key").agg(F.first("norm").alias("norm"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")).withColumnRenamed("class_key", "class_id")
+    classes = cut(classes)
     hashes = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    classes = cut(classes.withColumn("hashes", hashes).mapInArrow(_numbers, "class_id string, norm string, in_train boolean, in_eval boolean, numbers array<bigint>"))
-    # Counts of the words' buckets over all classes: one number for each of BUCKETS buckets, whatever the corpus. They only order the words.
-    counts = classes.select(F.explode(F.transform("numbers", lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)))).alias("b"))
-    counts = counts.groupBy("b").count().toPandas()
-    df = np.zeros(BUCKETS, np.int64)
-    df[counts["b"].to_numpy(np.int64)] = counts["count"]
-    schema = "class_id string, in_train boolean, in_eval boolean, n int, " + ", ".join(f"{c} bigint" for c in LANE_NAMES) + ", keys array<bigint>"
-    codes = classes.select("class_id", "in_train", "in_eval", "numbers").mapInArrow(_prefixes(spark.sparkContext.broadcast(df), least), schema)
-    codes = cut(codes.select("*").withColumn("key", F.explode("keys")).drop("keys"))
-    side = lambda s, keep: codes.where(keep).select("key", F.col("class_id").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in LANE_NAMES])
+    schema = "class_id string, train boolean, n int, " + ", ".join(f"{c} bigint" for c in LANE_NAMES) + ", codes array<bigint>"
+    codes = cut(classes.select("class_id", "in_train", "in_eval", hashes.alias("hashes")).mapInArrow(_fingerprints(least), schema))
+    keyed = _shared_segments(codes, hot_pairs)
+    side = lambda s, keep: keyed.where(keep).select("code", F.col("class_id").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in LANE_NAMES])
     apart = sum((F.bit_count(F.col(f"e{c}").bitwiseXOR(F.col(f"t{c}"))) for c in LANE_NAMES), F.lit(0))
-    longer, both = F.greatest("n_e", "n_t"), F.col("n_e") + F.col("n_t")
-    may = (F.least("n_e", "n_t") >= longer * F.lit(least) - 1e-6) & (apart <= both - 2 * least * longer + 1e-6)
-    near = side("e", F.col("in_eval")).join(side("t", F.col("in_train")), "key").where(may & (F.col("class_e") != F.col("class_t"))).select("class_e", "class_t").distinct()
+    longer, total = F.greatest("n_e", "n_t"), F.col("n_e") + F.col("n_t")
+    may = (F.least("n_e", "n_t") >= longer * F.lit(least) - 1e-6) & (apart <= total - 2 * least * longer + 1e-6)
+    near = side("e", ~F.col("train")).join(side("t", F.col("train")), "code").where(may & (F.col("class_e") != F.col("class_t"))).select("class_e", "class_t").distinct()
     text = lambda s: classes.select(F.col("class_id").alias(f"class_{s}"), F.col("norm").alias(f"text_{s}"))
     pairs = near.join(text("e"), "class_e").join(text("t"), "class_t").select("class_e", "class_t", "text_e", "text_t")
     return pairs.mapInArrow(_verify(least), "class_e string, class_t string, agreement double")
@@ -180,9 +189,20 @@ def cross_split_pairs(examples: DataFrame, least: float = 0.85) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("example_id_a"), F.greatest("eval_id", "train_id").alias("example_id_b"), "eval_id", "agreement").distinct()
 
 
-def overlap_report(examples: DataFrame) -> DataFrame:
-    """(split, source, n_examples, n_overlapping, n_pairs): how much of each split and source is also in train."""
-    rows = _members(examples).where("NOT in_train").select(F.col("example_id").alias("eval_id"), "split", "source").distinct()
-    pairs = cross_split_pairs(examples).groupBy("eval_id").agg(F.count("*").alias("n"))
-    joined = rows.join(pairs, "eval_id", "left")
-    return joined.groupBy("split", "source").agg(F.count("*").alias("n_examples"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+def overlap_report(examples: DataFrame, least: float = 0.85) -> DataFrame:
+    """(split, source, n_examples, n_overlapping, n_pairs): how much of each split and source is also in train.
+
+    Pairs are counted class by class and never expanded.
+    """
+    members = cut(_members(examples).select("example_id", "split", "source", "norm", "in_train", "class_key").distinct())
+    rows = members.where("NOT in_train").select(F.col("example_id").alias("eval_id"), "split", "source", F.col("class_key").alias("class_e"))
+    ids = members.where("in_train").select("example_id", F.col("class_key").alias("class_t")).distinct()
+    e = members.where("NOT in_train").select(F.col("class_key").alias("class_e")).distinct()
+    matched = class_pairs(members, least).select("class_e", "class_t").unionByName(e.join(ids.select("class_t").distinct(), F.col("class_e") == F.col("class_t")))
+    matched = cut(matched)
+    size = matched.join(ids.groupBy("class_t").count(), "class_t").groupBy("class_e").agg(F.sum("count").alias("n"))
+    # An id that is in both splits makes no pair with itself.
+    itself = rows.join(ids, F.col("eval_id") == F.col("example_id")).join(matched, ["class_e", "class_t"]).groupBy("eval_id", "class_e").agg(F.countDistinct("class_t").alias("self"))
+    each = rows.join(size, "class_e", "left").join(itself, ["eval_id", "class_e"], "left").withColumn("n", F.coalesce("n", F.lit(0)) - F.coalesce("self", F.lit(0)))
+    per_row = each.groupBy("eval_id", "split", "source").agg(F.sum("n").alias("n"))
+    return per_row.groupBy("split", "source").agg(F.count("*").alias("n_examples"), F.count_if(F.col("n") > 0).alias("n_overlapping"), F.sum("n").alias("n_pairs"))
