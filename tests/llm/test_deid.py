@@ -18,6 +18,16 @@ CASES = [
     ("Mr. Velmere was seen. Later Velmere went home.", [("PERSON", "Velmere"), ("PERSON", "Velmere")]),
     ("Prior chart (MRN 22 74 44 23) was merged. Claim under policy QCC-4107-999 is pending.", [("MEDICAL_RECORD_NUMBER", "22 74 44 23"), ("INSURANCE_NUMBER", "QCC-4107-999")]),
     ("Identity confirmed by 994-49-5304. Callback 555-0126 on file.", [("US_SSN", "994-49-5304"), ("PHONE_NUMBER", "555-0126")]),
+    # Nothing of these comes from the given notes.
+    ("Ring (212) 867-5309 or 617-482-9911.", [("PHONE_NUMBER", "(212) 867-5309"), ("PHONE_NUMBER", "617-482-9911")]),
+    ("Daughter: 617 482 9911, office 617.482.9911, night 6174829911 x12.", [("PHONE_NUMBER", "617 482 9911"), ("PHONE_NUMBER", "617.482.9911"), ("PHONE_NUMBER", "6174829911 x12")]),
+    ("He lives at 14 Harcourt Gardens, Leeds.", [("LOCATION", "14 Harcourt Gardens, Leeds")]),
+    ("Found near 3-C Upper Mill Lane, Flat 2, on Monday. Residing at 22 Ashgrove, Bath.", [("LOCATION", "3-C Upper Mill Lane, Flat 2"), ("LOCATION", "22 Ashgrove, Bath")]),
+    ("Home is 7, rue de la Paix, Lyon; work is Goethestraße 12a.", [("LOCATION", "7, rue de la Paix, Lyon"), ("LOCATION", "Goethestraße 12a")]),
+    ("Seen by Dr. Li and Mr. Wu.", [("PERSON", "Li"), ("PERSON", "Wu")]),
+    ("Seen by Dr. Lee. Lee agreed, LEE did not sign.", [("PERSON", "Lee"), ("PERSON", "Lee")]),
+    ("Her identity number is 321-54-9876; identity was verified by 321-54-9877.", [("US_SSN", "321-54-9876"), ("US_SSN", "321-54-9877")]),
+    ("Policy # ATD491341615 and claim under policy BYD-9541-100.", [("INSURANCE_NUMBER", "ATD491341615"), ("INSURANCE_NUMBER", "BYD-9541-100")]),
 ]
 HONEST = [
     "Babinski sign absent, Romberg steady, Apgar 9 and 6. Crohn disease in remission; Whipple procedure 7 years ago.",
@@ -25,6 +35,8 @@ HONEST = [
     "NDC 8747-1717-86 dispensed, device software 7.5.96 installed, lot 6955-15, dose ratio 8/25/269 on 2150-03-04.",
     "Tablets x3 @ bedtime, pump rate 17 mL @ 3 hourly checks. Order 893046 at 12:10.",
     "Pt: [PERSON]\nMRN: <MEDICAL_RECORD_NUMBER>\nMr. ___ lives at [LOCATION], phone [**Phone**], mail <EMAIL_ADDRESS>.",
+    "Values 140 110 100 3000 and 7 482 991, ratio 120/80/4000, code 12345-678-90, serial 123456789012, on 2150.03.04 at 10:20.",
+    "Her son. It was late. Dr. No was not said, Mr. and Mrs. were. Room 12 Lead A, 5 Green tablets, 3 Way stopcock.",
     "His spouse reported that night sweats began. Her family agreed. Blood pressure 120/80.",
     "",
 ]
