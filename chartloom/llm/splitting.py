@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = re.compile(r"\S+")
+#: What RUN takes as blanks, for Java.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
 HEADER = re.compile(r"^[ \t]*(?:[A-Z][A-Z0-9 /&()'-]{2,60}:?[ \t]*$|[A-Z][A-Z0-9 /&()'-]{2,60}:(?=\s)|#{1,6}[ \t]+\S.*$|(?:[A-Z][\w/&'-]*[ \t]?){1,6}:[ \t]*$)", re.M)
 PIECE = "piece_index int, n_pieces int, section string, text string, token_count int, start_pos int, core_start int, end_pos int"
 
@@ -125,7 +127,9 @@ def split_oversized(chunks: DataFrame, key: str = "chunk_id", limit: int = 384,
     section is the inner header in force where its core starts, otherwise the chunk's, otherwise FULL_NOTE. Null,
     empty and blank texts and those within the limit give no pieces. A single run of characters is never cut.
     """
-    rows = chunks.select(key, F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit("FULL_NOTE")).alias("section"), "text").distinct()
+    # Counted in the JVM, a blank at either end as one run more, so that only what may be over the limit is shuffled and sent to Python.
+    may = F.size(F.split("text", BLANKS)) > most_words(limit)
+    rows = chunks.where(may).select(key, F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.lit("FULL_NOTE")).alias("section"), "text").distinct()
     kind = "array<struct<section:string,text:string,token_count:int,start_pos:int,core_start:int,end_pos:int>>"
     found = rows.mapInArrow(_run(limit, overlap), f"`{key}` {rows.schema[key].dataType.simpleString()}, pieces {kind}")
     out = found.select(key, F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_index", "p"))
