@@ -61,7 +61,7 @@ def test_spark(spark):
 def test_any_blanks_part_words(spark):
     """Words parted by blanks that plain expressions don't know are counted as well before a text is passed on."""
     kinds = ["\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "\u2028", " \n"]
-    rows = [(i, None, "".join(f"w{j}" + b for j in range(n))) for i, (b, n) in enumerate((b, n) for b in kinds for n in (296, 295))]
+    rows = [(i, None, "".join(f"w{j}" + b for j in range(n))) for i, (b, n) in enumerate((b, n) for b in kinds for n in (297, 296))]
     df = spark.createDataFrame(rows, "chunk_id bigint, section string, text string")
     want = {i for i, _, t in rows if S.estimate(len(S.RUN.findall(t))) > 384}
     assert {r.chunk_id for r in S.split_oversized(df).select("chunk_id").collect()} == want and len(want) >= 5
