@@ -1,9 +1,10 @@
 """References to records that are missing, deleted or late.
 
 Parents are cut into ranges of ``width`` consecutive keys and stored as one row of sorted arrays for
-each range, so no array has more than ``width`` entries however the keys are spread. References go to
-the range of their key; there a whole batch is looked up by binary search. A range with more than
-``batch_rows`` references is salted: its references go to several groups, each with the range's arrays.
+each range, so no array has more than ``width`` entries however the keys are spread. References are first
+reduced to their different keys with the earliest arrival of each, on the map side, so that a range has at most
+``width`` of them as well, however often one is referred to; there they are looked up by binary search, a whole batch
+at once. Only keys that are missing, deleted or too late for some reference go back to the references.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from chartloom.sources.tables import broadcast_if_small, cut
 
 REASONS = ("missing", "deleted", "late")
 
@@ -39,46 +41,50 @@ def _micros(column: str) -> F.Column:
 
 
 def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The references of one range without a live and timely parent, with the reason's number."""
+    """The keys of one range that may make an orphan: reason 0 missing, 1 deleted, 2 late for the earliest reference."""
     keys = left.column("ref_key").to_numpy()
-    if right.num_rows == 0 or left.num_rows == 0:
-        reason = np.zeros(len(keys), np.int32)
-    else:
-        have, gone, first = (np.asarray(right.column(c).combine_chunks().values.to_numpy(zero_copy_only=False)) for c in ("keys", "gone", "first_us"))
+    reason, first = np.zeros(len(keys), np.int32), np.full(len(keys), -(2**63), np.int64)
+    if right.num_rows and left.num_rows:
+        have, gone, loaded = (np.asarray(right.column(c).combine_chunks().values.to_numpy(zero_copy_only=False)) for c in ("keys", "gone", "first_us"))
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        arrival = left.column("arrival_us").fill_null(2**63 - 1).to_numpy()
-        reason = np.where(have[at] != keys, 0, np.where(gone[at], 1, np.where(first[at] > arrival, 2, -1))).astype(np.int32)
-    kept = left.append_column("reason", pa.array(reason))
-    return kept.filter(pa.array(reason >= 0)).drop_columns(["bucket", "salt"])
+        earliest = left.column("earliest").fill_null(2**63 - 1).to_numpy()
+        first = np.where(have[at] == keys, loaded[at], first)
+        reason = np.where(have[at] != keys, 0, np.where(gone[at], 1, np.where(loaded[at] > earliest, 2, -1))).astype(np.int32)
+    kept = left.select(["kind", "ref_key", "n"]).append_column("first_us", pa.array(first)).append_column("reason", pa.array(reason))
+    return kept.filter(pa.array(reason >= 0))
+
+
+def _back(refs: DataFrame, keys: DataFrame, suspects: DataFrame, max_keys: int, hot_rows: int) -> DataFrame:
+    """``refs`` whose key is among the suspects: without a shuffle where these are few, otherwise hot keys apart."""
+    on = ["kind", "ref_key"]
+    if suspects.limit(max_keys + 1).count() <= max_keys:
+        return refs.join(F.broadcast(suspects), on)
+    # At most one key for each hot_rows references; a key that holds a third of all rows isn't sent to one task.
+    hot = broadcast_if_small(cut(keys.where(F.col("n") > hot_rows).select(*on)), max_keys)
+    cold = refs.join(hot, on, "left_anti").join(suspects.where(F.col("n") <= hot_rows), on)
+    return cold.unionByName(refs.join(broadcast_if_small(suspects.where(F.col("n") > hot_rows), max_keys), on))
 
 
-def find_orphans(references: DataFrame, parents: dict[str, DataFrame], width: int = 65_536, batch_rows: int = 200_000) -> DataFrame:
+def find_orphans(references: DataFrame, parents: dict[str, DataFrame], width: int = 65_536, max_keys: int = 100_000, hot_rows: int = 1_000_000) -> DataFrame:
     """``references`` whose key has no live and timely parent, with their ``reason``.
 
     ``references`` has parent (a key of ``parents``), ref_key, arrival (timestamp) and any other columns;
     other columns come out as they are. ``parents`` has what ``parent_ranges`` returns, made with the same
     ``width``. reason: missing = no such key; else deleted; else late = first loaded after ``arrival``. A
     null key is no reference and gives no row; without an arrival nothing is late. Repeated references are
-    all returned, each judged by its own arrival. Empty parents make every reference missing.
+    all returned, each judged by its own arrival. Empty parents make every reference missing. ``max_keys`` and
+    ``hot_rows`` change the plan, not the result.
     """
     names = list(parents)
     kind = reduce(lambda c, i: c.when(F.col("parent") == names[i], i), range(1, len(names)), F.when(F.col("parent") == names[0], 0))
     rest = [c for c in references.columns if c not in ("parent", "ref_key", "arrival")]
-    refs = references.where("ref_key IS NOT NULL").select(
-        kind.cast("int").alias("kind"), F.floor(F.col("ref_key") / width).alias("bucket"), F.col("ref_key").cast("long").alias("ref_key"), _micros("arrival").alias("arrival_us"), *rest
-    )
-    # One row for each batch_rows references at most, so this table is small against them whatever their keys.
-    hot = refs.groupBy("kind", "bucket").count().where(F.col("count") > batch_rows)
-    hot = hot.select("kind", "bucket", F.ceil(F.col("count") / batch_rows).cast("int").alias("parts"))
-    spread = refs.join(F.broadcast(hot), ["kind", "bucket"], "left")
-    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.floor(F.rand(7) * F.col("parts"))).cast("int")
-    spread = spread.withColumn("salt", salt).drop("parts")
-    sides = [df.withColumn("kind", F.lit(i)) for i, df in enumerate(parents.values())]
-    arrays = reduce(DataFrame.unionByName, sides).join(F.broadcast(hot), ["kind", "bucket"], "left")
-    arrays = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    fields = [f for f in spread.schema.fields if f.name not in ("bucket", "salt")] + [T.StructField("reason", T.IntegerType())]
-    group = ["kind", "bucket", "salt"]
-    found = spread.groupBy(*group).cogroup(arrays.groupBy(*group)).applyInArrow(_probe, T.StructType(fields))
+    refs = references.where("ref_key IS NOT NULL").select(kind.cast("int").alias("kind"), F.col("ref_key").cast("long").alias("ref_key"), _micros("arrival").alias("arrival_us"), *rest)
+    keys = refs.groupBy("kind", "ref_key").agg(F.min("arrival_us").alias("earliest"), F.count("*").alias("n"))
+    keys = cut(keys.withColumn("bucket", F.floor(F.col("ref_key") / width)))
+    arrays = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(i)) for i, df in enumerate(parents.values())])
+    group = ["kind", "bucket"]
+    suspects = cut(keys.groupBy(*group).cogroup(arrays.groupBy(*group)).applyInArrow(_probe, "kind int, ref_key long, n long, first_us long, reason int"))
+    found = _back(refs, keys, suspects, max_keys, hot_rows).where((F.col("reason") < 2) | (F.col("first_us") > F.col("arrival_us")))
     reason = F.element_at(F.array(*map(F.lit, REASONS)), F.col("reason") + 1)
     parent = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)
     return found.select(parent.alias("parent"), "ref_key", *rest, reason.alias("reason"))

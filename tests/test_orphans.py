@@ -61,11 +61,15 @@ def test_against_brute_force(spark):
     assert sum(report.values()) == len(want)
 
 
-def test_hot_range_is_salted(spark):
-    refs = spark.range(3000).selectExpr("'p' AS parent", "id % 7 AS ref_key", "timestamp_ntz'2150-01-01' AS arrival", "id AS row_id")
-    parents = {"p": orphans.parent_ranges(spark.createDataFrame([(k, T0, None) for k in range(6)], "k int, at timestamp_ntz, gone timestamp_ntz"), "k", "at", "gone", 4)}
-    found = orphans.find_orphans(refs, parents, width=4, batch_rows=100)
-    assert {r.ref_key for r in found.collect()} == {6} and found.count() == 3000 // 7
+def test_many_keys_and_hot_keys_change_the_plan_only(spark):
+    refs = spark.range(3000).selectExpr("'p' AS parent", "if(id % 3 = 0, 6, id % 11) AS ref_key", "timestamp_ntz'2150-01-01' AS arrival", "id AS row_id")
+    parents = {"p": orphans.parent_ranges(spark.createDataFrame([(k, T0 + timedelta(days=k - 4), T0 if k == 2 else None) for k in range(6)], "k int, at timestamp_ntz, gone timestamp_ntz"), "k", "at", "gone", 4)}
+    few = {tuple(r) for r in orphans.find_orphans(refs, parents, width=4).collect()}
+    for more in ({"max_keys": 3, "hot_rows": 500}, {"max_keys": 3, "hot_rows": 10**6}):
+        assert {tuple(r) for r in orphans.find_orphans(refs, parents, width=4, **more).collect()} == few
+    reason = lambda k: "missing" if k > 5 else "deleted" if k == 2 else "late" if k == 5 else None
+    key = lambda i: 6 if i % 3 == 0 else i % 11
+    assert few == {("p", key(i), i, reason(key(i))) for i in range(3000) if reason(key(i))}
 
 
 def test_empty_tables(spark):
