@@ -27,7 +27,7 @@ LANE_NAMES = tuple(f"c{i}" for i in range(SKETCH // 64))
 #: Texts are keyed by lengths that grow by this factor: the texts of one length share the number of segments.
 STEP = 1.1
 #: With more pairs than this on a segment it is joined together with one of the REACH segments after it.
-HOT_PAIRS, REACH = 2_000, 32
+HOT_PAIRS, REACH = 200_000, 32
 EVALUATION = {"val": "val", "validation": "val", "valid": "val", "dev": "val", "test": "test"}
 
 
@@ -115,7 +115,7 @@ def _fingerprints(least: float):
                 for train, ks in ((True, [own] if in_train else []), (False, reach if in_eval else [])):
                     rows += [(cid, train, n, *bits, segment_codes(numbers, segments(k, least)).view(np.int64)) for k in ks]
             if rows:
-                kinds = [pa.string(), pa.bool_(), pa.int32(), *[pa.int64()] * len(LANE_NAMES), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * len(LANE_NAMES), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
@@ -145,22 +145,26 @@ def _members(examples: DataFrame) -> DataFrame:
 def _shared_segments(codes: DataFrame, hot_pairs: int) -> DataFrame:
     """(train, code, class_id, n, lanes): segments that texts of both sides have, those of too many pairs with a second one."""
     own = ["class_id", "train", "n", *LANE_NAMES]
-    one = codes.select(*own, F.posexplode("codes").alias("place", "code"), F.col("codes").alias("all")).where("code % 2 <> 0")
+    row = ["class_id", "train", F.size("codes").alias("count")]
+    one = codes.select(*own, F.size("codes").alias("count"), F.posexplode("codes").alias("place", "code")).where("code % 2 <> 0")
     both = one.groupBy("code").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 AND e > 0")
     # Only segments that both sides have go on.
     both = cut(both.select("code", (F.col("t") * F.col("e") > hot_pairs).alias("hot")))
     met = one.join(both, "code")
-    after = F.slice(F.concat("all", "all"), F.col("place") + 2, F.least(F.size("all") - 1, F.lit(REACH)))
-    pairs = met.where("hot").select(*own, F.explode(after).alias("second"), "code").select(*own, (F.least("code", "second")).alias("a"), F.greatest("code", "second").alias("b"))
-    return met.where("NOT hot").select(*own, "code").unionByName(pairs.select(*own, F.xxhash64("a", "b").alias("code")).distinct())
+    hot = met.where("hot").select("class_id", "train", "count", "place", "code")
+    after = F.slice(F.concat("codes", "codes"), F.col("place") + 2, F.least(F.col("count") - 1, F.lit(REACH)))
+    pairs = codes.select(*row, "n", *LANE_NAMES, "codes").join(hot, ["class_id", "train", "count"]).select(*own, F.explode(after).alias("second"), "code")
+    pairs = pairs.select(*own, F.xxhash64(F.least("code", "second"), F.greatest("code", "second")).alias("code")).distinct()
+    return met.where("NOT hot").select(*own, "code").unionByName(pairs)
 
 
 def class_pairs(members: DataFrame, least: float = 0.85, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(class_e, class_t, agreement) of different classes, one in an evaluation split and one in train."""
-    classes = members.groupBy("class_key").agg(F.first("norm").alias("norm"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")).withColumnRenamed("class_key", "class_id")
-    classes = cut(classes)
+    classes = members.groupBy("class_key").agg(F.first("norm").alias("norm"), F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
+    # Numbered, so that the many rows of segments are short.
+    classes = cut(classes.withColumn("class_id", F.monotonically_increasing_id()))
     hashes = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    schema = "class_id string, train boolean, n int, " + ", ".join(f"{c} bigint" for c in LANE_NAMES) + ", codes array<bigint>"
+    schema = "class_id bigint, train boolean, n int, " + ", ".join(f"{c} bigint" for c in LANE_NAMES) + ", codes array<bigint>"
     codes = cut(classes.select("class_id", "in_train", "in_eval", hashes.alias("hashes")).mapInArrow(_fingerprints(least), schema))
     keyed = _shared_segments(codes, hot_pairs)
     side = lambda s, keep: keyed.where(keep).select("code", F.col("class_id").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{s}{c}") for c in LANE_NAMES])
@@ -170,7 +174,9 @@ def class_pairs(members: DataFrame, least: float = 0.85, hot_pairs: int = HOT_PA
     near = side("e", ~F.col("train")).join(side("t", F.col("train")), "code").where(may & (F.col("class_e") != F.col("class_t"))).select("class_e", "class_t").distinct()
     text = lambda s: classes.select(F.col("class_id").alias(f"class_{s}"), F.col("norm").alias(f"text_{s}"))
     pairs = near.join(text("e"), "class_e").join(text("t"), "class_t").select("class_e", "class_t", "text_e", "text_t")
-    return pairs.mapInArrow(_verify(least), "class_e string, class_t string, agreement double")
+    found = pairs.mapInArrow(_verify(least), "class_e bigint, class_t bigint, agreement double")
+    key = lambda s: classes.select(F.col("class_id").alias(f"class_{s}"), F.col("class_key").alias(f"key_{s}"))
+    return found.join(key("e"), "class_e").join(key("t"), "class_t").select(F.col("key_e").alias("class_e"), F.col("key_t").alias("class_t"), "agreement")
 
 
 def cross_split_pairs(examples: DataFrame, least: float = 0.85) -> DataFrame:
