@@ -51,3 +51,15 @@ def test_registry():
 
 def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
+
+
+def test_text_queries_go_alone_where_a_library_is_missing(monkeypatch):
+    import builtins
+    import sys
+
+    real = builtins.__import__
+    for name in [m for m in sys.modules if m.startswith("chartloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ModuleNotFoundError(name=name)) if name == "ahocorasick" else real(name, *a, **k))
+    left = set(entry.queries())
+    assert "p1_found" in left and "hybrid_rrf" in left and "p3_found" not in left
