@@ -41,6 +41,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_passages")).select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    near = leaks.near_items(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+    return near.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     found = p8_found(spark, d)
     items = table(spark, d, "eval_passages").select(F.col("item_id").cast("long").alias("item_id"), "set_name").distinct()
@@ -51,7 +56,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_redacted, p4_found, p4_pieces, p7_containers, p8_found, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_redacted, p4_found, p4_pieces, p7_containers, p8_found, p8_near, p8_report, p9_found)}
 
 
 
