@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.sources.tables import cut
+from chartloom.sources.tables import broadcast_if_small, cut
 
 SKETCH = 256
 LANE_NAMES = tuple(f"c{i}" for i in range(SKETCH // 64))
@@ -28,6 +28,8 @@ LANE_NAMES = tuple(f"c{i}" for i in range(SKETCH // 64))
 STEP = 1.1
 #: With more pairs than this on a segment it is joined together with one of the REACH segments after it.
 HOT_PAIRS, REACH = 200_000, 32
+#: Up to so many segments of both sides are broadcast, so that the others are dropped before a shuffle.
+MAX_SHARED = 1_000_000
 EVALUATION = {"val": "val", "validation": "val", "valid": "val", "dev": "val", "test": "test"}
 
 
@@ -150,7 +152,7 @@ def _shared_segments(codes: DataFrame, hot_pairs: int) -> DataFrame:
     both = one.groupBy("code").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")).where("t > 0 AND e > 0")
     # Only segments that both sides have go on.
     both = cut(both.select("code", (F.col("t") * F.col("e") > hot_pairs).alias("hot")))
-    met = one.join(both, "code")
+    met = one.join(broadcast_if_small(both, MAX_SHARED), "code")
     hot = met.where("hot").select("class_id", "train", "count", "place", "code")
     after = F.slice(F.concat("codes", "codes"), F.col("place") + 2, F.least(F.col("count") - 1, F.lit(REACH)))
     pairs = codes.select(*row, "n", *LANE_NAMES, "codes").join(hot, ["class_id", "train", "count"]).select(*own, F.explode(after).alias("second"), "code")
