@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
+WORD = re.compile(r"[^\W_]+")
 
 
 def hashed_embedding(texts: list[str | None], dimensions: int = DIMENSIONS, role: str = "document") -> np.ndarray:
-    """Unit vectors of hashed words; queries and documents differ only in that a query's words count once."""
+    """Counts of hashed words; queries and documents differ only in that a query's words count once.
+
+    A word's md5 gives its dimension (first byte) and its sign (second byte), so that any engine can make the same vectors.
+    """
     out = np.zeros((len(texts), dimensions), np.float32)
     for i, text in enumerate(texts):
-        words = (text or "").lower().split()
+        words = WORD.findall((text or "").lower())
         for w in set(words) if role == "query" else words:
-            h = xxhash.xxh64_intdigest(w)
-            out[i, h % dimensions] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+            at, sign = _place(w)
+            out[i, at % dimensions] += sign
+    return out
+
+
+@lru_cache(maxsize=200_000)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+    return h[0], 1 if h[1] < 128 else -1
 
 
 def embedder(load: Callable[[], Callable[[list[str | None]], np.ndarray]] | None = None, role: str = "document") -> Callable[[Column], Column]:

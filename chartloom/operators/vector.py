@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.vectors import valid_vector
-from chartloom.operators.lexical import ranked
+from chartloom.operators.lexical import SCOPE, ranked
 
 SCHEMA = "query_id bigint, chunk_id bigint, score double"
 
@@ -24,7 +24,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _scan(held, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = held.value
+        ids, queries, scopes = held.value
         queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         best: tuple[np.ndarray, np.ndarray] | None = None  # scores and ids, a row for each query
         for batch in batches:
@@ -32,6 +32,8 @@ def _scan(held, top: int):
                 continue
             m = _matrix(batch.column(1))
             scores = queries @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+            for name, wanted in scopes.items():
+                scores[_outside(wanted, batch.column(name).to_pylist())] = -np.inf
             rows = np.broadcast_to(batch.column(0).to_numpy(), scores.shape)
             if best is not None:
                 scores, rows = np.hstack([best[0], scores]), np.hstack([best[1], rows])
@@ -39,25 +41,35 @@ def _scan(held, top: int):
             order = np.lexsort((rows, -np.round(scores, 9)), axis=1)[:, :top]
             best = np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
         if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best[1].ravel(), pa.int64()), pa.array(best[0].ravel(), pa.float64())], ["query_id", "chunk_id", "score"])
+            n, flat = best[0].shape[1], best[0].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best[1].ravel(), pa.int64()), pa.array(flat, pa.float64())], ["query_id", "chunk_id", "score"]).filter(pa.array(np.isfinite(flat)))
 
     return run
 
 
-def vector_top(queries: DataFrame, chunks: DataFrame, top: int = 60, block: int = 4096) -> DataFrame:
+def _outside(wanted: list, values: list) -> np.ndarray:
+    """For each query and row whether the query is limited to another value than the row's; a null row is outside any limit."""
+    number = {v: i for i, v in enumerate({*wanted, *values} - {None})}
+    q, r = (np.array([number.get(v, -1) for v in x]) for x in (wanted, values))
+    return (q[:, None] >= 0) & (q[:, None] != r[None, :])
+
+
+def vector_top(queries: DataFrame, chunks: DataFrame, top: int = 60, block: int = 4096, scoped: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the chunks with the highest cosine to each query's vector.
 
+    With ``scoped`` both sides have the columns SCOPE, and only chunks with a query's values are scored for it.
+
     ``queries`` has query_id and vector, ``chunks`` has chunk_id and vector, all of one length. Null vectors, those with
     NaN and all-zero ones give nothing. The queries are a stated set: they are held against all chunks in blocks of
     ``block``, and each task sends on only its own best ``top`` for each query.
     """
     spark = chunks.sparkSession
-    rows = chunks.where(valid_vector(F.col("vector"))).select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector")
-    wanted = iter(queries.where(valid_vector(F.col("vector"))).select("query_id", "vector").toLocalIterator())
+    limits = SCOPE if scoped else ()
+    rows = chunks.where(valid_vector(F.col("vector"))).select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector", *limits)
+    wanted = iter(queries.where(valid_vector(F.col("vector"))).select("query_id", "vector", *limits).toLocalIterator())
     parts = []
     while batch := list(islice(wanted, block)):
-        held = spark.sparkContext.broadcast((np.array([r.query_id for r in batch], np.int64), np.array([r.vector for r in batch], np.float64)))
+        held = spark.sparkContext.broadcast((np.array([r.query_id for r in batch], np.int64), np.array([r.vector for r in batch], np.float64), {c: [r[c] for r in batch] for c in limits}))
         parts.append(rows.mapInArrow(_scan(held, top), SCHEMA))
     if not parts:
         return spark.createDataFrame([], SCHEMA + ", rank bigint")

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.functions import vectors as V
-from chartloom.operators import fusion, lexical, vector
+from chartloom.operators import fusion, lexical, search, vector
+from chartloom.operators.models import DIMENSIONS, embedder
 from chartloom.sources.tables import cut, table
 
-FIRST_CHUNK, VECTORS = 30_000_000, 500
-
 
 def all_chunks(s: SparkSession, d: str) -> DataFrame:
     """Distinct chunks with text and its estimated tokens."""
@@ -35,13 +34,13 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_vectors(s: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
-    v = vectors(s, d).select((F.col("vec_id") + FIRST_CHUNK).alias("chunk_id"), "vector")
-    return v.join((chunks if chunks is not None else good_chunks(s, d)).select("chunk_id"), "chunk_id", "left_semi")
+    """The embedder's vector of every chunk."""
+    rows = chunks if chunks is not None else good_chunks(s, d)
+    return rows.select("chunk_id", embedder()(F.col("text")).alias("vector"))
 
 
 def question_vectors(s: SparkSession, d: str) -> DataFrame:
-    q = questions(s, d).withColumn("vec_id", F.col("query_id") % VECTORS)
-    return q.join(vectors(s, d), "vec_id").select("query_id", "vector")
+    return questions(s, d).select("query_id", embedder(role="query")(F.col("query")).alias("vector"))
 
 
 def note_times(s: SparkSession, d: str) -> DataFrame:
@@ -96,8 +95,7 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_v1(s: SparkSession, d: str) -> DataFrame:
-    v = vectors(s, d).select((F.col("vec_id") + FIRST_CHUNK).alias("chunk_id"), "vector").join(all_chunks(s, d).select("chunk_id"), "chunk_id", "left_semi")
-    return _rounded(vector.vector_top(question_vectors(s, d), v, 50), "score")
+    return _rounded(vector.vector_top(question_vectors(s, d), chunk_vectors(s, d, cut(all_chunks(s, d))), 50), "score")
 
 
 def vector_lsh(s: SparkSession, d: str) -> DataFrame:
@@ -211,6 +209,29 @@ def rerank_compare(s: SparkSession, d: str) -> DataFrame:
     return by_fusion.join(by_reranker, ["query_id", "rank"], "full_outer")
 
 
+def scoped_questions(s: SparkSession, d: str) -> DataFrame:
+    """Every twentieth training example as a question: of all notes, of its note's patient, admission, or patient and note type in turn."""
+    notes = table(s, d, "note_chunks").where("note_id IS NOT NULL").groupBy("note_id").agg(*[F.max(c).alias(c) for c in lexical.SCOPE])
+    note = F.element_at(F.split("positive_chunk_id", "_"), 2).try_cast("bigint")
+    asked = table(s, d, "training_examples").where("example_id % 20 = 0 AND query IS NOT NULL").select(F.col("example_id").alias("query_id"), "query", note.alias("note_id")).distinct().join(notes, "note_id", "left")
+    turn = F.floor(F.col("query_id") / 20) % 4
+    return asked.select("query_id", "query", F.when(turn.isin(1, 3), F.col("subject_id")).alias("subject_id"), F.when(turn == 2, F.col("hadm_id")).alias("hadm_id"), F.when(turn == 3, F.col("note_type")).alias("note_type"))
+
+
+def scoped_search(s: SparkSession, d: str) -> DataFrame:
+    found = search.search(scoped_questions(s, d), good_chunks(s, d), note_times(s, d))
+    return found.select("query_id", "chunk_id", "sources", F.round("score", 6).alias("score"), "mode", "rank")
+
+
+def typed_questions(s: SparkSession, d: str) -> DataFrame:
+    """Questions as typed, with a patient before them and a wish about time behind them, read back."""
+    note = table(s, d, "note_chunks").where("subject_id IS NOT NULL").groupBy("note_id").agg(F.max("subject_id").alias("p"))
+    ex = table(s, d, "training_examples").where("query IS NOT NULL").select("example_id", "query", F.element_at(F.split("positive_chunk_id", "_"), 2).try_cast("bigint").alias("note_id")).distinct().join(note, "note_id", "left")
+    wish = F.when(F.col("example_id") % 3 == 0, " /recent").when(F.col("example_id") % 3 == 1, " /oldest").otherwise("")
+    line = F.concat(F.coalesce(F.concat(F.lit("p:"), F.col("p").cast("string"), F.lit(" ")), F.lit("")), F.col("query"), wish)
+    return search.parse_questions(ex.select(F.col("example_id").alias("query_id"), line.alias("line")))
+
+
 def vector_checks(s: SparkSession, d: str) -> DataFrame:
     return vectors(s, d).select("vec_id", V.valid_vector(F.col("vector")).alias("valid"), F.round(V.cosine(F.col("vector"), F.reverse("vector")), 6).alias("mirror"))
 
@@ -218,7 +239,7 @@ def vector_checks(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     lexical_bm25, lexical_two_pass, lexical_cover_density, lexical_note_level, expanded_queries, vector_topk, vector_topk_v1, vector_lsh, rrf_fusion, rrf_v1,
     arm_counts, note_dedup, hybrid_rrf, temporal_recent, temporal_latest, temporal_trend, temporal_reference, temporal_v1, temporal_intent, context_window,
-    context_anchor_first, source_block, rerank_fallback, rerank_compare, vector_checks,
+    context_anchor_first, source_block, rerank_fallback, rerank_compare, vector_checks, scoped_search, typed_questions,
 )}
 
 
@@ -230,6 +251,15 @@ def sql_tokens(column: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({column}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
+def embedding_sql(key: str, words: str, source: str) -> str:
+    """The stand-in embedder: counts of words by the first byte of their md5, signed by the second."""
+    digit = lambda i: f"(strpos('0123456789abcdef', substr(h, {i}, 1)) - 1)"
+    hashed = f"SELECT {key}, md5(unnest({words})) AS h FROM {source}"
+    sums = f"SELECT {key}, ({digit(1)} * 16 + {digit(2)}) % {DIMENSIONS} AS dim, sum(CASE WHEN {digit(3)} < 8 THEN 1.0 ELSE -1.0 END) AS x FROM ({hashed}) GROUP BY ALL"
+    full = f"SELECT {key}, list(CAST(coalesce(x, 0) AS DOUBLE) ORDER BY dim) AS v FROM (SELECT DISTINCT {key} FROM {source}) CROSS JOIN (SELECT range AS dim FROM range({DIMENSIONS})) LEFT JOIN ({sums}) USING ({key}, dim) GROUP BY {key}"
+    return f"SELECT * FROM ({full}) WHERE len(list_filter(v, lambda y: y <> 0)) > 0"
+
+
 _DICTIONARY = ", ".join(f"({i}, {_quoted(k)}, {j}, {_quoted(t)})" for i, (k, v) in enumerate(lexical.EXPANSIONS.items()) for j, t in enumerate(v))
 _IGNORED = ", ".join(map(_quoted, (*lexical.STOPWORDS, *lexical.QUESTION_WORDS)))
 CTE = {
@@ -258,8 +288,8 @@ CTE = {
     "pass_best": "SELECT * EXCLUDE place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pass ORDER BY round(score, 9) DESC, chunk_id) AS place FROM pass_scores) WHERE place <= 60",
     "merged": "SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pass) AS k FROM pass_best) WHERE k = 1",
     "lex": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM merged) WHERE rank <= 60",
-    "vq": f"SELECT query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM q JOIN embeddings ON vec_id = query_id % {VECTORS}",
-    "vc": f"SELECT vec_id + {FIRST_CHUNK} AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id + {FIRST_CHUNK} IN (SELECT chunk_id FROM {{pool}})",
+    "vq": embedding_sql("query_id", f"list_distinct({sql_tokens('query')})", "q"),
+    "vc": embedding_sql("chunk_id", sql_tokens("text"), "{pool}"),
     "sims": "SELECT query_id, chunk_id, list_cosine_similarity(vq.v, vc.v) AS score FROM vq, vc",
     "vec": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sims) WHERE rank <= {top}",
     "pairs": "SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.chunk_id, v.chunk_id) AS chunk_id, l.rank AS lexical_rank, v.rank AS vector_rank FROM lex l FULL OUTER JOIN vec v ON l.query_id = v.query_id AND l.chunk_id = v.chunk_id",
@@ -291,10 +321,11 @@ _CONTEXT = [*_HYBRID, "places", "near40", "ctx40", "cand"]
 _RERANK = [*_CONTEXT, "shared", "logits", "judged", "reranked"]
 
 
-def with_ctes(names: list[str], final: str, **values: str) -> str:
-    """One statement of the named parts, in their order, and the final select."""
+def with_ctes(names: list[str], final: str, parts: dict[str, str] | None = None, **values: str) -> str:
+    """One statement of the named parts, in their order, and the final select; ``parts`` takes the place of named ones."""
     fill = {"q": "q", "pool": "good", "top": "60", "wv": "1.2", "bonus": "0.5", "first": ""} | values
-    part = lambda n: CTE[n].format(**fill) if n in ("terms0", "vc", "vec", "raws", "near") else CTE[n]
+    cte = CTE | (parts or {})
+    part = lambda n: cte[n].replace("{pool}", fill["pool"]) if n == "vc" else cte[n].format(**fill) if n in ("terms0", "vec", "raws", "near") else cte[n]
     return "WITH " + ", ".join(f"{n} AS ({part(n)})" for n in dict.fromkeys(names)) + (f" {final}" if final else "")
 
 
@@ -306,6 +337,18 @@ def _timed(order: str, score: str, keep: str = "true", names: list[str] | None =
 _BOOST = "score + coalesce(0.20 * pow(0.5, days_ago / 180.0), 0.0)"
 _MODE = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), {_quoted('|'.join(p))}) THEN '{m}'" for m, p in T.TEMPORAL_PATTERNS) + " ELSE 'all' END"
 _NOTE_LEVEL = _BM25 + ["qw", "bm", "bm_ranked"]
+_IN = " AND ".join(f"(a.{c} IS NULL OR a.{c} = g.{c})" for c in lexical.SCOPE)
+_TURN = "example_id // 20 % 4"
+_SCOPED = {
+    "asks": f"""SELECT DISTINCT example_id AS query_id, query, CASE WHEN {_TURN} IN (1, 3) THEN n.subject_id END AS subject_id, CASE WHEN {_TURN} = 2 THEN n.hadm_id END AS hadm_id, CASE WHEN {_TURN} = 3 THEN n.note_type END AS note_type FROM training_examples
+ LEFT JOIN (SELECT note_id, max(subject_id) AS subject_id, max(hadm_id) AS hadm_id, max(note_type) AS note_type FROM note_chunks WHERE note_id IS NOT NULL GROUP BY note_id) n ON n.note_id = try_cast(split_part(positive_chunk_id, '_', 2) AS BIGINT) WHERE example_id % 20 = 0 AND query IS NOT NULL""",
+    "q": "SELECT DISTINCT query_id, query FROM asks",
+    "gh": f"SELECT gw.query_id, pass, grp, gw_w.chunk_id, needed, word, weight FROM gw JOIN w gw_w USING (word) JOIN asks a ON a.query_id = gw.query_id JOIN good g ON g.chunk_id = gw_w.chunk_id WHERE {_IN}",
+    "sims": f"SELECT vq.query_id, vc.chunk_id, list_cosine_similarity(vq.v, vc.v) AS score FROM vq JOIN asks a ON a.query_id = vq.query_id CROSS JOIN vc JOIN good g ON g.chunk_id = vc.chunk_id WHERE {_IN}",
+}
+_SCOPED_FINAL = f"""SELECT query_id, chunk_id, sources, round(CASE WHEN mode IN ('recent', 'latest') THEN boosted ELSE score END, 6) AS score, mode, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+ CASE WHEN mode IN ('recent', 'latest') THEN round(boosted, 9) END DESC NULLS LAST, CASE WHEN mode = 'trend' THEN charttime END NULLS LAST, rank) AS place FROM (SELECT aged.*, {_BOOST} AS boosted, mode FROM aged JOIN (SELECT query_id, {_MODE} AS mode FROM (SELECT query_id, query AS question FROM q)) USING (query_id))
+ WHERE mode <> 'recent' OR days_ago IS NULL OR days_ago <= 365) WHERE place <= 10"""
 
 SQL = {
     "lexical_bm25": with_ctes([*_BM25, "qw", "bm", "bm_ranked"], "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm_ranked"),
@@ -329,5 +372,7 @@ SQL = {
     "source_block": with_ctes([*_CONTEXT, "tagged", "blocks", "sized"], "SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS block_md5, length(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS length, count(*) AS n_sources FROM sized WHERE n = 1 OR before + length(block) <= 8000 GROUP BY query_id"),
     "rerank_fallback": with_ctes(_RERANK, "SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, fallback, rank FROM reranked"),
     "rerank_compare": with_ctes(_RERANK, "SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.rank, b.rank) AS rank, a.chunk_id AS by_fusion, b.chunk_id AS by_reranker, b.fallback FROM (SELECT query_id, chunk_id, rank FROM cand WHERE rank <= 10) a FULL OUTER JOIN reranked b ON a.query_id = b.query_id AND a.rank = b.rank"),
+    "scoped_search": with_ctes(["chunks", "good", "asks", *[n for n in _HYBRID if n not in ("chunks", "good")], "aged"], _SCOPED_FINAL, _SCOPED),
+    "typed_questions": "SELECT DISTINCT example_id AS query_id, trim(query) AS query, n.p AS subject_id, CASE example_id % 3 WHEN 0 THEN 'recent' WHEN 1 THEN 'trend' END AS mode FROM training_examples LEFT JOIN (SELECT note_id, max(subject_id) AS p FROM note_chunks WHERE subject_id IS NOT NULL GROUP BY note_id) n ON n.note_id = try_cast(split_part(positive_chunk_id, '_', 2) AS BIGINT) WHERE query IS NOT NULL",
     "vector_checks": "SELECT vec_id, len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_reverse(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS mirror FROM embeddings",
 }

@@ -186,7 +186,7 @@ def test_answers(spark):
 def test_models(spark):
     df = spark.createDataFrame([(1, "heparin dose"), (2, None), (3, "")], "id bigint, text string")
     v = {r.id: r.v for r in df.select("id", models.embedder()(F.col("text")).alias("v")).collect()}
-    assert len(v[1]) == models.DIMENSIONS and sum(x * x for x in v[1]) == pytest.approx(1, abs=1e-5) and not any(v[2]) and not any(v[3])
+    assert len(v[1]) == models.DIMENSIONS and any(v[1]) and not any(v[2]) and not any(v[3])
     s = {r.id: r.s for r in df.select("id", models.scorer()(F.lit("heparin"), F.col("text")).alias("s")).collect()}
     assert s[1] == 3.0 and s[2] == -3.0
 
