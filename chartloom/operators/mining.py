@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from chartloom.functions.coerce import abnormal_trimmed
 from chartloom.functions.text import overlap_ratio
 from chartloom.operators.cohort import first_rows
+from chartloom.sources.tables import broadcast_if_small, cut
 
 MIN_CHUNK = 100
+#: More keys than this are joined to their sizes without a broadcast.
+MAX_KEYS = 500_000
 
 
 def first_abnormal_labs(labevents: DataFrame, items: DataFrame) -> DataFrame:
@@ -19,6 +22,7 @@ def first_abnormal_labs(labevents: DataFrame, items: DataFrame) -> DataFrame:
     return first_rows(rows, ["hadm_id", "label"], [F.col("charttime"), F.col("labevent_id")], 1).drop("place")
 
 
+# Fixed values in these functions: the wordings of the questions.
 def lab_queries(label: Column, value: Column, low: Column, high: Column) -> Column:
     """Questions about an abnormal result, by the side of the range that it lies on."""
     name = F.lower(label)
@@ -56,46 +60,81 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, least: float = 0.2) -> Da
     return scored.groupBy("query", "hadm_id").agg(best).select("query", "hadm_id", "b.chunk_id", "b.overlap")
 
 
-def _pool(chunks: DataFrame, key: str, n: int) -> DataFrame:
-    """Of each key's chunks the first ``n`` in the order of a hash: a sample, the same on every run."""
-    return first_rows(chunks.where(F.col(key).isNotNull()), [key], [F.md5(F.col("chunk_id").cast("string")), F.col("chunk_id")], n).drop("place")
+def _draw(*columns: str) -> Column:
+    return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns]))
 
 
 def _pool_by_admission(chunks: DataFrame, key: str, n: int) -> DataFrame:
     """Of each key's chunks ``n``, taken from its admissions in turn: whatever admission is left out, half of the pool or all other chunks are there."""
-    draw = [F.md5(F.col("chunk_id").cast("string")), F.col("chunk_id")]
-    turns = first_rows(chunks.where(F.col(key).isNotNull()), [key, "hadm_id"], draw, n).withColumnRenamed("place", "turn")
+    draw = [_draw("chunk_id"), F.col("chunk_id")]
+    turns = first_rows(chunks, [key, "c_hadm"], draw, n).withColumnRenamed("place", "turn")
     return first_rows(turns, [key], [F.col("turn"), *draw], n).drop("place", "turn")
 
 
-def hard_negatives(examples: DataFrame, chunks: DataFrame, n: int = 5, pool: int = 40) -> DataFrame:
-    """(example_id, chunk_id, neg_type, place): up to ``n`` negatives of each example.
+def _candidates(examples: DataFrame, chunks: DataFrame, key: str, pool: int, tier: int) -> DataFrame:
+    """(example_id, chunk_id, tier): chunks of the example's key and other admissions.
 
-    ``examples`` has example_id, subject_id, hadm_id and icd_code, ``chunks`` the same fields without example_id, and chunk_id. One chunk
-    of the same patient's other admissions comes first, then chunks of other admissions with the same code up to three in all, then any
-    chunks. Drawn by hashes from pools of at most ``pool`` chunks for each patient, code and bucket, so a frequent code costs no more than
-    a rare one; the admissions of a patient or code take turns in its pool, so that a chunk of another admission is found wherever there is one. Few candidates give few negatives.
+    A key's chunks are spread over buckets of about ``pool`` each, and an example looks into one of them, so every chunk can
+    be drawn and a frequent key costs no more than a rare one. Where the bucket holds none of another admission, the pool
+    of the key's admissions in turn has one if there is any.
     """
+    rows = chunks.where(F.col(key).isNotNull()).select(key, "chunk_id", F.col("hadm_id").alias("c_hadm")).distinct()
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / pool).alias("buckets"))
+    asked = examples.where(F.col(key).isNotNull()).select("example_id", "hadm_id", "positive_id", key).distinct().join(sizes, key)
+    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(tier)), F.col("buckets"))
+    by_bucket = asked.withColumn("bucket", bucket("example_id")).join(rows.join(broadcast_if_small(sizes, MAX_KEYS), key).withColumn("bucket", bucket("chunk_id")).drop("buckets"), [key, "bucket"])
+    by_turn = asked.join(_pool_by_admission(rows, key, pool), key)
+    columns = ["example_id", "chunk_id", "hadm_id", "c_hadm", "positive_id"]
     other = (F.col("c_hadm") != F.col("hadm_id")) | F.col("hadm_id").isNull()
-    side = lambda p, key: p.select(F.col(key), F.col("chunk_id"), F.col("hadm_id").alias("c_hadm"), F.col("subject_id").alias("c_subject")) if key != "subject_id" else p.select("subject_id", "chunk_id", F.col("hadm_id").alias("c_hadm"), F.col("subject_id").alias("c_subject"))
-    one = examples.join(side(_pool_by_admission(chunks, "subject_id", pool), "subject_id"), "subject_id").where(other).select("example_id", "chunk_id", F.lit(1).alias("tier"))
-    two = examples.join(side(_pool_by_admission(chunks, "icd_code", pool), "icd_code"), "icd_code").where(other).select("example_id", "chunk_id", F.lit(2).alias("tier"))
-    buckets = max(1, chunks.count() // pool)
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    spread = _pool(chunks.withColumn("bucket", bucket("chunk_id")), "bucket", pool).select("bucket", "chunk_id", F.col("hadm_id").alias("c_hadm"))
-    three = examples.withColumn("bucket", bucket("example_id")).join(spread, "bucket").where(other).select("example_id", "chunk_id", F.lit(3).alias("tier"))
+    both = by_bucket.select(*columns).unionByName(by_turn.select(*columns))
+    return both.where(other & ~F.col("chunk_id").eqNullSafe(F.col("positive_id"))).select("example_id", "chunk_id", F.lit(tier).alias("tier"))
+
+
+def hard_negatives(examples: DataFrame, chunks: DataFrame, codes: DataFrame, n: int = 5, pool: int = 20) -> DataFrame:
+    """(example_id, chunk_id, neg_type, place): up to ``n`` negatives of each example.
+
+    ``examples`` has example_id, subject_id, hadm_id and positive_id (its own chunk, left out), ``chunks`` has chunk_id, subject_id
+    and hadm_id, ``codes`` has hadm_id and icd_code, as many as an admission has. One chunk of the same patient's other admissions comes
+    first, then chunks of other admissions that share a code up to three in all, then any chunks, all drawn by hashes. Few
+    candidates give few negatives. Null fields are no keys.
+    """
+    by_code = codes.where("hadm_id IS NOT NULL AND icd_code IS NOT NULL").select("hadm_id", "icd_code").distinct()
+    own = chunks.select("chunk_id", "subject_id", "hadm_id").where("chunk_id IS NOT NULL")
+    asks = examples.select("example_id", "subject_id", "hadm_id", "positive_id")
+    one = _candidates(asks, own, "subject_id", pool, 1)
+    two = _candidates(asks.join(by_code, "hadm_id"), own.join(by_code, "hadm_id"), "icd_code", pool, 2)
+    everywhere = lambda df: df.withColumn("everywhere", F.lit(0))
+    three = _candidates(everywhere(asks), everywhere(own), "everywhere", pool, 3)
     once = one.unionByName(two).unionByName(three).groupBy("example_id", "chunk_id").agg(F.min("tier").alias("tier"))
-    draw = F.md5(F.concat_ws(":", F.col("example_id").cast("string"), F.col("chunk_id").cast("string")))
-    w = Window.partitionBy("example_id", "tier").orderBy(draw, "chunk_id")
+    w = Window.partitionBy("example_id", "tier").orderBy(_draw("example_id", "chunk_id"), "chunk_id")
     ordered = once.withColumn("k", F.row_number().over(w)).where("tier = 3 AND k <= %d OR tier = 1 AND k <= 1 OR tier = 2 AND k <= 3" % n)
     place = Window.partitionBy("example_id").orderBy("tier", "k")
     ranked = ordered.withColumn("place", F.row_number().over(place))
     # Tiers one and two together give three at most.
-    kept = ranked.where(f"(tier < 3 AND place <= 3) OR tier = 3").withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+    kept = ranked.where("(tier < 3 AND place <= 3) OR tier = 3").withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
     kind = F.element_at(F.array(F.lit("same_patient"), F.lit("same_code"), F.lit("random")), F.col("tier"))
     return kept.select("example_id", "chunk_id", kind.alias("neg_type"), F.col("place").cast("long").alias("place"))
 
 
+def mined_examples(queries: DataFrame, chunks: DataFrame, codes: DataFrame, least_negatives: int = 2) -> DataFrame:
+    """(example_id, query, query_type, hadm_id, positive, positive_chunk_id, negatives, metadata): training examples from records.
+
+    ``queries`` has hadm_id, query_type and query, ``chunks`` chunk_id, subject_id, hadm_id and text. The positive is the
+    admission's best chunk, the negatives those of ``hard_negatives``; an example with fewer than ``least_negatives`` is left out.
+    """
+    asked = queries.where("hadm_id IS NOT NULL AND query IS NOT NULL").groupBy("hadm_id", "query").agg(F.min("query_type").alias("query_type"))
+    best = cut(best_chunks(asked, chunks.where("hadm_id IS NOT NULL")).join(asked, ["query", "hadm_id"]).withColumn("example_id", F.xxhash64("query", "hadm_id")))
+    place = chunks.select("chunk_id", "subject_id").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    examples = best.join(place, "chunk_id", "left").select("example_id", "subject_id", "hadm_id", F.col("chunk_id").alias("positive_id"))
+    texts = chunks.select("chunk_id", "text").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    one = F.struct("place", "text", F.col("chunk_id").cast("string").alias("chunk_id"), "neg_type")
+    found = hard_negatives(examples, chunks, codes).join(texts, "chunk_id").groupBy("example_id").agg(F.array_sort(F.collect_list(one)).alias("ns")).where(F.size("ns") >= least_negatives)
+    negatives = F.transform("ns", lambda x: F.struct(x["text"].alias("text"), x["chunk_id"].alias("chunk_id"), x["neg_type"].alias("neg_type")))
+    rows = best.join(found, "example_id").join(texts.withColumnRenamed("text", "positive"), "chunk_id")
+    metadata = F.create_map(F.lit("hadm_id"), F.col("hadm_id").cast("string"), F.lit("overlap"), F.round("overlap", 4).cast("string"))
+    return rows.select("example_id", "query", "query_type", "hadm_id", "positive", F.col("chunk_id").alias("positive_chunk_id"), negatives.alias("negatives"), metadata.alias("metadata"))
+
+
 def triplets(examples: DataFrame) -> DataFrame:
     """(query, positive, negative, neg_type): one row for each negative."""
     return examples.select("query", "positive", F.explode("negatives").alias("n")).select("query", "positive", F.col("n.text").alias("negative"), "n.neg_type")
@@ -135,3 +174,10 @@ def audit_breakdown(scored: DataFrame, key: str) -> DataFrame:
     """(key, n, mean, good_pct, advice): by type; advice for types of laboratory or medication with a mean below 1.5."""
     out = scored.where("score >= 0").groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(100.0 * F.avg((F.col("score") >= 2).cast("int")), 4).alias("good_pct"))
     return out.withColumn("advice", F.when(F.col(key).isin("lab", "medication") & (F.col("mean") < 1.5), "review templates"))
+
+
+def false_negatives(scored: DataFrame, most: float = 0.15) -> DataFrame:
+    """(neg_type, n, n_relevant, share, advice) of judged negatives; advice where more than ``most`` of them are relevant. Scores below 0 are errors."""
+    out = scored.where("score >= 0").groupBy("neg_type").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 2).alias("n_relevant"))
+    share = F.col("n_relevant") / F.col("n")
+    return out.select("neg_type", "n", "n_relevant", F.round(share, 6).alias("share"), F.when(share > most, "review negatives").alias("advice"))

@@ -1,14 +1,16 @@
-"""The rule-based detector of protected health information: patterns with scores, spans, tags."""
+"""The rule-based detector of protected health information: patterns with scores, spans, tags.
+
+All of it are column expressions, so a scan of notes stays in the JVM and one pass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
-import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Months and kinds of facility, for the patterns below.
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _FACILITY = r"(?:Hospital|Medical\s+Center|Medical\s+Lab(?:oratory)?|Health\s+Center|Health\s+System|Clinic|Medical\s+Group|Medical\s+Campus|Rehabilitation\s+Center|Surgical\s+Center|Cancer\s+Center|Heart\s+(?:Center|Institute))"
 # What is looked for, how sure a match is, and how. Group 1, where there is one, is the value itself.
@@ -47,30 +49,39 @@ TAGS = {
 DEFAULT_THRESHOLD = 0.35
 
 
-def analyse(text: str, entities: tuple[str, ...] | None = None, threshold: float = DEFAULT_THRESHOLD) -> list[tuple[str, int, int, float, str]]:
-    """(type, start, end, score, value), by start, without overlaps: the surer match wins, then the longer, then the earlier."""
-    hits = []
-    for kind, score, pattern in PATTERNS:
-        if score >= threshold and (entities is None or kind in entities):
-            hits += [(kind, m.start(), m.end(), score) for m in re.finditer(pattern, text)]
-    taken: list[tuple[int, int]] = []
-    kept = []
-    for kind, s, e, score in sorted(hits, key=lambda h: (-h[3], h[1] - h[2], h[1])):
-        if all(e <= a or b <= s for a, b in taken):
-            taken.append((s, e))
-            kept.append((kind, s, e, score, text[s:e]))
-    return sorted(kept, key=lambda h: h[1])
+_SPAN = "array<struct<rank:double,longest:int,start:int,end:int,type:string,value:string>>"
+
+
+def _matches(text: Column, kind: str, score: float, pattern: str) -> Column:
+    """Every match of a pattern as a span: what lies between the matches gives their places."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["match"])
+        span = F.struct(F.lit(-score).alias("rank"), (start - end).alias("longest"), start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), pair["match"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
 
-def redact(text: str, found: list[tuple[str, int, int, float, str]]) -> str:
-    out, at = [], 0
-    for kind, s, e, _, _ in found:
-        out += [text[at:s], TAGS[kind]]
-        at = e
-    return "".join([*out, text[at:]])
 
+def spans(text: Column, entities: tuple[str, ...] | None = None, threshold: float = DEFAULT_THRESHOLD) -> Column:
+    """Spans of a text by start, without overlaps: the surer match wins, then the longer, then the earlier. Null for a null text."""
+    wanted = [p for p in PATTERNS if p[1] >= threshold and (entities is None or p[0] in entities)]
+    every = reduce(F.concat, [_matches(text, *p) for p in wanted], F.array().cast(_SPAN))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (x["end"] > k["start"]) & (x["start"] < k["end"]))
+    kept = F.aggregate(F.array_sort(every), F.array().cast(_SPAN), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return F.when(text.isNotNull(), F.array_sort(kept, lambda a, b: a["start"] - b["start"]))
 
-_ENTITY = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("original_value", pa.string())])
+
+def tagged_text(text: Column, found: Column) -> Column:
+    """``text`` with each span replaced by its type's tag."""
+    tags = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), tags[x["type"]]).alias("out"))
+    return F.aggregate(found, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def detect(notes: DataFrame, key: str = "note_id", entities: tuple[str, ...] | None = None, threshold: float = DEFAULT_THRESHOLD, keep_values: bool = True) -> DataFrame:
@@ -78,17 +89,10 @@ def detect(notes: DataFrame, key: str = "note_id", entities: tuple[str, ...] | N
 
     A null text gives null for both. Without ``keep_values`` the found values are left null, so that the trail holds no originals.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [None if t is None else analyse(t, entities, threshold) for t in texts]
-            cells = [None if f is None else [{"type": k, "start": s, "end": e, "score": p, "original_value": v if keep_values else None} for k, s, e, p, v in f] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(_ENTITY)), pa.array([None if f is None else redact(t, f) for t, f in zip(texts, found)], pa.string())], [key, "entities", "redacted"])
-
-    rows = notes.select(key, "text")
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, entities array<struct<type:string,start:int,end:int,score:double,original_value:string>>, redacted string")
+    found = notes.select(key, "text", spans(F.col("text"), entities, threshold).alias("found"))
+    value = lambda x: x["value"] if keep_values else F.lit(None).cast("string")
+    entity = F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), (-x["rank"]).alias("score"), value(x).alias("original_value")))
+    return found.select(key, entity.alias("entities"), tagged_text(F.col("text"), F.col("found")).alias("redacted"))
 
 
 def entity_histogram(detected: DataFrame) -> DataFrame:

@@ -227,14 +227,35 @@ def best_positive(s: SparkSession, d: str) -> DataFrame:
     return best.withColumn("overlap", F.round("overlap", 6))
 
 
+def _codes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "diagnoses_icd").select("hadm_id", "icd_code")
+
+
 def hard_negatives(s: SparkSession, d: str) -> DataFrame:
-    """Negatives of every example; a chunk's code is its admission's principal diagnosis."""
-    code = table(s, d, "diagnoses_icd").where("seq_num = 1 AND hadm_id IS NOT NULL").groupBy("hadm_id").agg(F.max("icd_code").alias("icd_code"))
-    chunks = cut(R.all_chunks(s, d).select("chunk_id", "note_id", "subject_id", "hadm_id").join(code, "hadm_id", "left"))
-    place = chunks.groupBy("note_id").agg(F.max("subject_id").alias("subject_id"), F.max("hadm_id").alias("hadm_id"), F.max("icd_code").alias("icd_code"))
-    note = F.element_at(F.split("positive_chunk_id", "_"), 2).try_cast("bigint")
-    ex = table(s, d, "training_examples").where("example_id IS NOT NULL").select("example_id", note.alias("note_id")).dropDuplicates(["example_id"]).join(place, "note_id", "left")
-    return mining.hard_negatives(ex.drop("note_id"), chunks.drop("note_id"))
+    """Negatives of every example; a chunk's codes are all diagnoses of its admission."""
+    chunks = cut(R.all_chunks(s, d).select("chunk_id", "note_id", "chunk_index", "subject_id", "hadm_id"))
+    place = chunks.groupBy("note_id").agg(F.max("subject_id").alias("subject_id"), F.max("hadm_id").alias("hadm_id"))
+    part = F.split("positive_chunk_id", "_")
+    at = chunks.groupBy("note_id", F.col("chunk_index").alias("index")).agg(F.min("chunk_id").alias("positive_id"))
+    ex = table(s, d, "training_examples").where("example_id IS NOT NULL").select("example_id", F.try_element_at(part, F.lit(2)).try_cast("bigint").alias("note_id"), F.try_element_at(part, F.lit(3)).try_cast("int").alias("index")).dropDuplicates(["example_id"])
+    return mining.hard_negatives(ex.join(place, "note_id", "left").join(at, ["note_id", "index"], "left"), chunks, _codes(s, d))
+
+
+def mined_examples(s: SparkSession, d: str) -> DataFrame:
+    """Examples made from abnormal results (one question each) and leading diagnoses (two questions each)."""
+    first = mining.first_abnormal_labs(table(s, d, "labevents"), table(s, d, "d_labitems"))
+    by_lab = first.select("hadm_id", F.lit("lab").alias("query_type"), mining.lab_queries(F.col("label"), F.col("valuenum"), F.col("low"), F.col("high"))[0].alias("query"))
+    seq = F.when(F.coalesce("seq_num", F.lit(0)) == 0, 99).otherwise(F.col("seq_num"))
+    dx = table(s, d, "diagnoses_icd").where((seq <= 5) & F.col("icd_code").isNotNull()).select("hadm_id", "icd_code", "icd_version").distinct()
+    by_dx = dx.select("hadm_id", F.lit("diagnosis").alias("query_type"), F.explode(F.slice(mining.diagnosis_queries(F.col("icd_code"), F.concat(F.lit("Condition "), "icd_code"), F.col("icd_version")), 1, 2)).alias("query"))
+    made = mining.mined_examples(by_lab.unionByName(by_dx), R.all_chunks(s, d), _codes(s, d))
+    return made.select("hadm_id", "query", "query_type", "positive_chunk_id", F.size("negatives").alias("n_negatives"), F.array_join(F.array_distinct("negatives.neg_type"), ",").alias("kinds"))
+
+
+def false_negatives(s: SparkSession, d: str) -> DataFrame:
+    """How many negatives of the given examples the judge finds relevant (2 or 3), by kind; a share above 15 % asks for a review."""
+    rows = table(s, d, "training_examples").where("query IS NOT NULL").select("query", F.explode("negatives").alias("n")).where("n.text IS NOT NULL").select("query", F.col("n.text").alias("text"), F.col("n.neg_type").alias("neg_type")).distinct()
+    return mining.false_negatives(rows.withColumn("score", judging.parse_answer(_overlap_judge(F.col("query"), F.col("text")))))
 
 
 def triplets(s: SparkSession, d: str) -> DataFrame:
@@ -293,7 +314,7 @@ QUERIES = {f.__name__: f for f in (
     lab_router, lab_series, lab_series_latest, lab_blocks, lab_questions, keyword_judge, ir_metrics, pooled_metrics, config_rollup, head_to_head, temporal_metrics,
     temporal_lift, judge_cached, tolerant_json, median_votes, token_estimates, sentence_split, window_chunks, section_chunks, training_sections, guideline_chunks,
     cleaned_pages, phi_entities, phi_redacted, phi_histogram, phi_simple, phi_recall, lab_pseudo_queries, diagnosis_pseudo_queries, keyword_overlap, best_positive,
-    hard_negatives, triplets, labelled_pairs, dataset_stats, audit_distribution, audit_verdict, audit_breakdown, grounded_answers, sweep_summary,
+    hard_negatives, mined_examples, false_negatives, triplets, labelled_pairs, dataset_stats, audit_distribution, audit_verdict, audit_breakdown, grounded_answers, sweep_summary,
 )}
 
 _q = R._quoted
@@ -366,6 +387,7 @@ SQL = {
     "triplets": "SELECT query, md5(positive) AS positive_md5, md5(n.text) AS negative_md5, n.neg_type AS neg_type FROM (SELECT query, positive, unnest(negatives) AS n FROM training_examples)",
     "labelled_pairs": "SELECT query, md5(positive) AS document_md5, 1 AS label FROM training_examples UNION ALL SELECT query, md5(n.text), 0 FROM (SELECT query, unnest(negatives) AS n FROM training_examples)",
     "dataset_stats": "WITH x AS (SELECT 'query_type' AS kind, query_type AS value FROM training_examples UNION ALL SELECT 'neg_type', n.neg_type FROM (SELECT unnest(negatives) AS n FROM training_examples)) SELECT kind, value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY kind), 4) AS pct FROM x GROUP BY kind, value",
+    "false_negatives": f"WITH f AS (SELECT DISTINCT query, n.text AS positive, n.neg_type AS neg_type FROM (SELECT query, unnest(negatives) AS n FROM training_examples WHERE query IS NOT NULL) WHERE n.text IS NOT NULL), g AS (SELECT neg_type, CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER) AS score FROM f) SELECT neg_type, count(*) AS n, count(*) FILTER (score >= 2) AS n_relevant, round(count(*) FILTER (score >= 2) / count(*), 6) AS share, CASE WHEN count(*) FILTER (score >= 2) / count(*) > 0.15 THEN 'review negatives' END AS advice FROM g GROUP BY neg_type",
     "audit_distribution": f"WITH {_AUDIT}, c AS (SELECT score, count(*) AS n FROM a GROUP BY score) SELECT CAST(s.score AS INTEGER) AS score, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM a), 4) AS pct FROM range(4) AS s(score) LEFT JOIN c ON c.score = s.score",
     "audit_verdict": f"WITH {_AUDIT}, o AS (SELECT count(*) AS n, round(avg(score), 6) AS mean, round(100.0 * count(*) FILTER (score >= 2) / count(*), 4) AS good_pct, count(*) FILTER (score < 0) AS errors FROM a) SELECT *, CASE WHEN good_pct >= 80 THEN 'GOOD' WHEN good_pct >= 60 THEN 'MODERATE' ELSE 'LOW' END AS verdict FROM o",
     "audit_breakdown": f"WITH {_AUDIT} SELECT query_type, count(*) AS n, round(avg(score), 6) AS mean, round(100.0 * avg(CAST(score >= 2 AS INT)), 4) AS good_pct, CASE WHEN query_type IN ('lab', 'medication') AND round(avg(score), 6) < 1.5 THEN 'review templates' END AS advice FROM a GROUP BY query_type",

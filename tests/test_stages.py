@@ -146,35 +146,63 @@ def test_chunking():
 
 def test_redaction(spark):
     note = "MRN: 1234567 seen 01/15/2150 by Dr. Anna Velmere, mail a.b@c.org, SSN 912-34-5678, 93-year-old. Serial number: SPN3-2024-AK. Springfield Memorial Hospital."
-    kinds = {k for k, *_ in redaction.analyse(note)}
-    assert {"MEDICAL_RECORD_NUMBER", "DATE_TIME", "PERSON", "EMAIL_ADDRESS", "US_SSN", "AGE_OVER_89", "DEVICE_ID", "LOCATION"} <= kinds
-    df = spark.createDataFrame([(1, note), (2, None), (3, "")], "note_id bigint, text string")
+    df = spark.createDataFrame([(1, note), (2, None), (3, ""), (4, "911-22-3333" + " é 01/15/2150" * 3)], "note_id bigint, text string")
     found = {r.note_id: r for r in redaction.detect(df).collect()}
+    kinds = {e.type for e in found[1].entities}
+    assert found[4].redacted == "[SSN]" + " é [DATE]" * 3 and [e.start for e in found[4].entities] == [0, 14, 27, 40]
+    assert {"MEDICAL_RECORD_NUMBER", "DATE_TIME", "PERSON", "EMAIL_ADDRESS", "US_SSN", "AGE_OVER_89", "DEVICE_ID", "LOCATION"} <= kinds
     assert "1234567" not in found[1].redacted and found[2].redacted is None and found[3].entities == []
     assert all(note[e.start : e.end] == e.original_value for e in found[1].entities)
     expected = spark.createDataFrame([(1, "SSN", "912-34-5678"), (1, "X", "seen")], "note_id bigint, type string, value string")
     assert {r.type: r.recall for r in redaction.recall(expected, redaction.detect(df)).collect()} == {"SSN": 1.0, "X": 0.0}
 
 
+CHUNK = "chunk_id bigint, subject_id int, hadm_id int"
+EXAMPLE = "example_id bigint, subject_id int, hadm_id int, positive_id bigint"
+
+
 def test_negatives(spark):
-    chunks = spark.createDataFrame([(i, i % 20, i % 60, f"c{i % 4}") for i in range(240)] + [(900, None, None, None)], "chunk_id bigint, subject_id int, hadm_id int, icd_code string")
-    examples = spark.createDataFrame([(1, 3, 3, "c3"), (2, None, None, None), (3, 5, 5, "unheard")], "example_id bigint, subject_id int, hadm_id int, icd_code string")
-    out = mining.hard_negatives(examples, chunks, pool=10).collect()
-    by = {e: [r for r in out if r.example_id == e] for e in (1, 2, 3)}
-    assert all(len(v) == 5 or e == 2 for e, v in by.items()) and [r.neg_type for r in sorted(by[1], key=lambda r: r.place)][:3] == ["same_patient", "same_code", "same_code"]
+    chunks = spark.createDataFrame([(i, i % 20, i % 60) for i in range(240)] + [(900, None, None)], CHUNK)
+    codes = spark.createDataFrame([(h, f"c{h % 4}") for h in range(60)] + [(h, "rare") for h in (3, 7)] + [(None, "c1"), (3, None)], "hadm_id int, icd_code string")
+    examples = spark.createDataFrame([(1, 3, 3, 63), (2, None, None, None), (3, 5, 5, None), (4, 99, 7, 7)], EXAMPLE)
+    out = mining.hard_negatives(examples, chunks, codes, pool=10).collect()
+    by = {e: sorted((r for r in out if r.example_id == e), key=lambda r: r.place) for e in (1, 2, 3, 4)}
+    assert all(len(v) == 5 or e == 2 for e, v in by.items()) and [r.neg_type for r in by[1]][:3] == ["same_patient", "same_code", "same_code"]
     at = {r.chunk_id: r for r in chunks.collect()}
-    assert all(at[r.chunk_id].hadm_id != 3 for r in by[1]) and len({r.chunk_id for r in by[1]}) == 5
-    assert out == mining.hard_negatives(examples, chunks, pool=10).collect() or len(out) == mining.hard_negatives(examples, chunks, pool=10).count()
+    assert all(at[r.chunk_id].hadm_id != 3 for r in by[1]) and len({r.chunk_id for r in by[1]}) == 5 and 63 not in {r.chunk_id for r in by[1]}
+    assert [r.neg_type for r in by[4]].count("same_code") == 3 and all(at[r.chunk_id].hadm_id % 4 == 3 for r in by[4] if r.neg_type == "same_code")
+    again = mining.hard_negatives(examples, chunks, codes, pool=10).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
 def test_negatives_beside_a_large_admission(spark):
-    many = [(i, 7, 1, "hot") for i in range(1000)] + [(2000, 7, 2, "x"), (2001, 8, 3, "hot"), (2002, 9, 4, "hot")]
-    chunks = spark.createDataFrame(many, "chunk_id bigint, subject_id int, hadm_id int, icd_code string")
-    examples = spark.createDataFrame([(1, 7, 1, "hot")], "example_id bigint, subject_id int, hadm_id int, icd_code string")
-    got = {(r.chunk_id, r.neg_type) for r in mining.hard_negatives(examples, chunks).collect()}
+    chunks = spark.createDataFrame([(i, 7, 1) for i in range(1000)] + [(2000, 7, 2), (2001, 8, 3), (2002, 9, 4)], CHUNK)
+    codes = spark.createDataFrame([(1, "hot"), (2, "x"), (3, "hot"), (4, "hot")], "hadm_id int, icd_code string")
+    examples = spark.createDataFrame([(1, 7, 1, None)], EXAMPLE)
+    got = {(r.chunk_id, r.neg_type) for r in mining.hard_negatives(examples, chunks, codes).collect()}
     assert got == {(2000, "same_patient"), (2001, "same_code"), (2002, "same_code")}
 
 
+def test_every_chunk_can_become_a_negative(spark):
+    """No chunk of a frequent code is out of reach: many examples together draw far more than one pool."""
+    chunks = spark.createDataFrame([(i, i, i) for i in range(2000)], CHUNK)
+    codes = spark.createDataFrame([(i, "hot") for i in range(2000)], "hadm_id int, icd_code string")
+    examples = spark.createDataFrame([(i, i, i, i) for i in range(600)], EXAMPLE)
+    out = mining.hard_negatives(examples, chunks, codes, pool=20).where("neg_type = 'same_code'")
+    assert out.select("chunk_id").distinct().count() > 400 and out.groupBy("example_id").count().where("count = 3").count() == 600
+
+
+def test_mined_examples(spark):
+    text = lambda k: " ".join(["elevated potassium workup and management of the patient", *(f"w{k}x{j}" for j in range(20))])
+    chunks = spark.createDataFrame([(i, i % 5, i % 15, text(i)) for i in range(45)], CHUNK + ", text string")
+    queries = spark.createDataFrame([(3, "lab", "elevated potassium workup and management"), (3, "lab", "nothing that occurs anywhere"), (99, "lab", "elevated potassium workup")], "hadm_id int, query_type string, query string")
+    codes = spark.createDataFrame([(h, "c") for h in range(15)], "hadm_id int, icd_code string")
+    (row,) = mining.mined_examples(queries, chunks, codes).collect()
+    assert row.hadm_id == 3 and row.positive_chunk_id in (3, 18, 33) and len(row.negatives) == 5 and row.query_type == "lab" and row.positive == text(row.positive_chunk_id)
+    assert all(int(n.chunk_id) % 15 != 3 and n.text == text(int(n.chunk_id)) for n in row.negatives) and float(row.metadata["overlap"]) >= 0.2
+    assert mining.mined_examples(queries, chunks.where("chunk_id IN (3, 4)"), codes).count() == 0  # fewer than two negatives
+
+
 def test_answers(spark):
     asked = spark.createDataFrame([(1, "q", "[L1] Potassium 4", ""), (2, "q", "", "[S1] x\nHe slept well. More."), (3, "q", "", "")], "key bigint, question string, labs string, notes string")
     out = {r.key: r for r in answering.grounded_answers(asked).collect()}
