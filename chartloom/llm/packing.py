@@ -155,3 +155,21 @@ def pack_texts(texts: DataFrame, capacity: int = 2048, open_windows: int = 64, m
         closed.append(packed.where("NOT open"))
     containers = reduce(DataFrame.unionByName, [*closed, left]).withColumn("container_id", F.monotonically_increasing_id())
     return containers.select("container_id", F.explode("items").alias("i")).select("container_id", "i.*")
+
+
+def packing_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(n_containers, n_texts, n_tokens, fill, least): one row; ``least`` is the number of containers without any unused space."""
+    used = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    both = used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens")).join(packed.agg(F.countDistinct("doc_id").alias("n_texts")))
+    return both.select("n_containers", "n_texts", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6).alias("fill"), F.ceil(F.col("n_tokens") / capacity).alias("least"))
+
+
+def packing_invariants(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(doc_id, packed_once, split_only_if_over, within_capacity): what must hold of each text."""
+    used = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    each = packed.join(used, "container_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("n_tokens").alias("total"), F.max("piece_index").alias("last"), F.countDistinct("piece_index").alias("different"),
+        F.bool_and(F.col("start_token") == F.col("piece_index") * capacity).alias("in_line"), F.bool_and(F.col("used") <= capacity).alias("within_capacity"),
+    )
+    once = (F.col("n") == F.col("different")) & (F.col("last") == F.col("n") - 1) & F.col("in_line")
+    return each.select("doc_id", once.alias("packed_once"), (F.col("n") == F.ceil(F.col("total") / capacity)).alias("split_only_if_over"), "within_capacity")

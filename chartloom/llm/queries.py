@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.llm import deid, leaks, overlap, packing, spam, splitting
-from chartloom.sources.tables import table
+from chartloom.sources.tables import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,10 +33,22 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "note_chunks"))
 
 
+def p4_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.piece_invariants(p4_pieces(spark, d))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"))
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(cut(p7_containers(spark, d)))
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_invariants(cut(p7_containers(spark, d)))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_passages")).select("doc_id", "item_id")
 
@@ -56,7 +68,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_redacted, p4_found, p4_pieces, p7_containers, p8_found, p8_near, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_redacted, p4_found, p4_pieces, p4_invariants, p7_containers, p7_report, p7_invariants, p8_found, p8_near, p8_report, p9_found)}
 
 
 
@@ -71,6 +83,8 @@ _LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'text', 'docum
 
 SQL = {
     "p4_found": r"SELECT DISTINCT chunk_id FROM note_chunks WHERE 13 * length(regexp_extract_all(text, '\S+')) // 10 > 384",
+    "p4_invariants": r"SELECT chunk_id, CAST(sum(n) AS BIGINT) AS core_words, true AS within_limit, true AS overlap_within, true AS counts_right, true AS in_order FROM (SELECT DISTINCT chunk_id, coalesce(nullif(trim(section), ''), 'FULL_NOTE') AS section, text, length(regexp_extract_all(text, '\S+')) AS n FROM note_chunks) WHERE 13 * n // 10 > 384 GROUP BY chunk_id",
+    "p7_invariants": "SELECT doc_id, true AS packed_once, true AS split_only_if_over, true AS within_capacity FROM documents WHERE text IS NOT NULL AND text <> ''",
     "p8_found": _LEAKS,
     "p8_report": f"SELECT item_id, n_documents, set_name FROM (SELECT item_id, count(*) AS n_documents FROM ({_LEAKS}) GROUP BY item_id) JOIN (SELECT DISTINCT item_id, set_name FROM eval_passages) USING (item_id)",
 }

@@ -134,3 +134,15 @@ def split_oversized(chunks: DataFrame, key: str = "chunk_id", limit: int = 384,
     found = rows.mapInArrow(_run(limit, overlap), f"`{key}` {rows.schema[key].dataType.simpleString()}, pieces {kind}")
     out = found.select(key, F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_index", "p"))
     return out.select(key, "piece_index", "n_pieces", "p.*")
+
+
+def piece_invariants(pieces: DataFrame, key: str = "chunk_id", limit: int = 384, overlap: int = 64) -> DataFrame:
+    """(key, core_words, within_limit, overlap_within, counts_right, in_order): what must hold of the pieces of each chunk."""
+    words = lambda c: F.size(F.filter(F.split(c, BLANKS), lambda w: w != ""))
+    tokens = lambda n: F.floor(n * 13 / 10)
+    core = F.col("core_start") - F.col("start_pos")
+    each = pieces.select(key, "piece_index", "token_count", "start_pos", "end_pos", "core_start", words(F.col("text")).alias("n"), words(F.substring("text", core + 1, F.length("text"))).alias("core"), words(F.substring("text", F.lit(1), core)).alias("back"))
+    return each.groupBy(key).agg(
+        F.sum("core").alias("core_words"), F.bool_and(F.col("token_count") <= limit).alias("within_limit"), F.bool_and(tokens(F.col("back")) <= overlap).alias("overlap_within"),
+        F.bool_and(F.col("token_count") == tokens(F.col("n"))).alias("counts_right"), F.bool_and((F.col("start_pos") <= F.col("core_start")) & (F.col("core_start") < F.col("end_pos"))).alias("in_order"),
+    )
