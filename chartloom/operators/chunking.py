@@ -1,15 +1,14 @@
-"""Notes and guidelines cut into chunks: sections by their headers, then whole sentences packed up to a size."""
+"""Notes and guidelines cut into chunks: sections by their headers, then whole sentences packed up to a size.
 
-from __future__ import annotations
+All of it are column expressions over arrays, so a pass over notes stays in the JVM and gives a row for each chunk.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-import regex as re
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.functions.text import clean_page_text
+from chartloom.functions.text import clean_page_text, token_estimate
 
 # Headers of note sections, at the start of a line in any letter case; the first that fits counts.
 NOTE_HEADERS = (
@@ -38,161 +37,147 @@ GUIDELINE_HEADERS = (
 )
 
 LIMIT, OVERLAP, TINY = 384, 64, 50
-_BREAK = re.compile(r"(?<=[.!?])\s+")
 PLAIN = ("FULL_NOTE", "PREAMBLE")
+#: Signs that stand before and behind a header while a text is taken apart.
+MARK, END = "\u0001", "\u0002"
+_PIECES, _HELD = "array<struct<section:string,text:string>>", "array<struct<s:string,n:int>>"
 
 
-def header_pattern(headers: tuple[str, ...], colon: bool = False, longest_first: bool = False, whole_words: bool = False) -> re.Pattern:
+def header_pattern(headers: tuple[str, ...], colon: bool = False, longest_first: bool = False, whole_words: bool = False) -> str:
     """A pattern for headers at the start of a line; the options mend what the plain order of alternatives gets wrong."""
     names = sorted(headers, key=len, reverse=True) if longest_first else headers
     end = r"\b" if whole_words else ""
-    return re.compile(rf"^(?P<h>{'|'.join(names)}){end}\s*{':' if colon else ':?'}", re.M | re.I)
+    return rf"(?imd)^({'|'.join(names)}){end}\s*{':' if colon else ':?'}"
 
 
 NOTE_PATTERN = header_pattern(NOTE_HEADERS)
 TRAINING_PATTERNS = {"discharge": header_pattern(DISCHARGE_HEADERS, colon=True), "radiology": header_pattern(RADIOLOGY_HEADERS, colon=True)}
-CAPS_PATTERN = re.compile(r"^(?P<h>[A-Z][A-Z\s]{2,})\s*:", re.M)
-GUIDELINE_PATTERN = re.compile(rf"^(?:{'|'.join((*GUIDELINE_FORMS, *GUIDELINE_HEADERS))})", re.M | re.I)
+CAPS_PATTERN = r"(?md)^([A-Z][A-Z\s]{2,})\s*:"
+GUIDELINE_PATTERN = rf"(?imd)^({'|'.join((*GUIDELINE_FORMS, *GUIDELINE_HEADERS))})"
+
+
+def estimated(text: Column) -> Column:
+    return token_estimate(text).cast("int")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def estimated(text: str) -> int:
-    return int(len(text.split()) * 1.3)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def sections(text: str, pattern: re.Pattern, whole: str = "FULL_NOTE", before: str = "PREAMBLE") -> list[tuple[str, str]]:
-    """(header, body) of each section that has a body; a text without headers is one section."""
-    found = list(pattern.finditer(text))
-    if not found:
-        return [(whole, text)]
-    edges = [m.start() for m in found] + [len(text)]
-    parts = [(before, text[: edges[0]].strip())]
-    parts += [(re.sub(r"[:\s]+$", "", m.group("h")).upper() if whole.isupper() else m.group("h").strip(), text[m.end() : edge].strip()) for m, edge in zip(found, edges[1:])]
-    return [(h, body) for h, body in parts if body]
+def _parts(text: Column, pattern: str) -> Column:
+    """What stands before the first header, then each header and what follows it, END between them."""
+    return F.split(F.regexp_replace(F.translate(text, MARK + END, "  "), pattern, f"{MARK}$1{END}"), MARK)
 
 
-def _pack_words(words: list[str], limit: int, overlap: int) -> list[str]:
+def sections(text: Column, pattern: str, whole: str = "FULL_NOTE", before: str = "PREAMBLE") -> Column:
+    """Array of (section, text) of each section that has any text; a text without headers is one section."""
+    parts = _parts(text, pattern)
+    name = lambda h: F.upper(F.regexp_replace(h, r"[:\s]+$", "")) if whole.isupper() else _stripped(h)
+    each = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(name(F.substring_index(p, END, 1)).alias("section"), _stripped(F.substring_index(p, END, -1)).alias("text")))
+    first = F.array(F.struct(F.lit(before).alias("section"), _stripped(parts[0]).alias("text")))
+    found = F.filter(F.concat(first, each), lambda x: x["text"] != "")
+    return F.when(F.size(parts) == 1, F.array(F.struct(F.lit(whole).alias("section"), text.alias("text")))).otherwise(found)
+
+
+def _word_runs(sentence: Column, limit: int, overlap: int) -> Column:
     """Words of an over-long sentence in runs that overlap; each word counts as one token here."""
-    step = max(1, limit - overlap)
-    return [" ".join(words[i : i + limit]) for i in range(0, max(1, len(words) - overlap), step)]
+    words = _words(sentence)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.size(words) - overlap) - 1, F.lit(max(1, limit - overlap)))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(limit)), " "))
 
 
-def pack(body: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
+def pack(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     """A section's chunks: itself if small enough, otherwise whole sentences up to the limit, each chunk repeating the last ones before it."""
-    if estimated(body) <= limit:
-        return [body]
-    out: list[str] = []
-    held: list[tuple[str, int]] = []
-    fresh = False
-    for sentence in _BREAK.split(body):
+    kind = f"struct<out:array<string>,held:{_HELD},fresh:boolean>"
+    none = F.array().cast(_HELD)
+    joined = lambda held: F.array_join(F.transform(held, lambda x: x["s"]), " ")
+    total = lambda held: F.aggregate(held, F.lit(0), lambda a, x: a + x["n"])
+    state = lambda out, held, fresh: F.struct(out.alias("out"), held.alias("held"), fresh.alias("fresh")).cast(kind)
+    flushed = lambda acc: F.when(acc["fresh"], F.concat(acc["out"], F.array(joined(acc["held"])))).otherwise(acc["out"])
+
+    def last_of(held: Column) -> Column:
+        """The last sentences of a chunk, as many as the overlap takes."""
+        inner = f"struct<items:{_HELD},total:int,open:boolean>"
+        more = lambda a, x: a["open"] & (a["total"] + x["n"] <= overlap)
+        add = lambda a, x: F.when(more(a, x), F.struct(F.concat(F.array(x), a["items"]).alias("items"), (a["total"] + x["n"]).alias("total"), F.lit(True).alias("open")).cast(inner)).otherwise(F.struct(a["items"].alias("items"), a["total"].alias("total"), F.lit(False).alias("open")).cast(inner))
+        return F.aggregate(F.reverse(held), F.struct(none.alias("items"), F.lit(0).alias("total"), F.lit(True).alias("open")).cast(inner), add, lambda a: a["items"])
+
+    def step(acc: Column, sentence: Column) -> Column:
         size = estimated(sentence)
-        if size > limit:
-            if fresh:
-                out.append(" ".join(s for s, _ in held))
-            out += _pack_words(sentence.split(), limit, overlap)
-            held, fresh = [], False
-            continue
-        if held and sum(n for _, n in held) + size > limit:
-            if fresh:
-                out.append(" ".join(s for s, _ in held))
-            back, total = [], 0
-            for s, n in reversed(held):
-                if total + n > overlap:
-                    break
-                back.insert(0, (s, n))
-                total += n
-            # The repeated sentences must leave room for the new one.
-            held = back if total + size <= limit else []
-        held.append((sentence, size))
-        fresh = True
-    if fresh:
-        out.append(" ".join(s for s, _ in held))
-    return out
-
-
-def note_chunks_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> list[tuple[str, str, int]]:
-    """(section, text, tokens) of a note's chunks. Tiny ones are gathered until a large one follows; at the end they join the last."""
-    ready: list[tuple[str, str]] = []
-    small: list[tuple[str, str]] = []
-    flush = lambda: (small[0][0], "\n".join(t for _, t in small))
-    for header, body in sections(text, NOTE_PATTERN):
-        for piece in pack(body, limit, overlap):
-            if estimated(piece) < tiny:
-                small.append((header, piece))
-                if estimated(flush()[1]) >= tiny:
-                    ready.append(flush())
-                    small = []
-                continue
-            if small:
-                ready.append(flush())
-                small = []
-            ready.append((header, piece))
-    if small:
-        if ready:
-            header, last = ready[-1]
-            ready[-1] = (header, last + "\n" + flush()[1])
-        else:
-            ready.append(flush())
-    named = [(h, t if h in PLAIN else f"[{h}] {t}") for h, t in ready]
-    return [(h, t, estimated(t)) for h, t in named]
-
-
-def guideline_chunks_of(text: str, source: str, limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> list[tuple[str, str, int]]:
-    """(section, text, tokens) of a guideline's chunks; tiny ones and sections of ten words or fewer are dropped.
-
-    What stands before the first header counts from 100 characters on. Tokens are counted without the prefix.
-    """
-    found = list(GUIDELINE_PATTERN.finditer(text))
-    edges = [m.start() for m in found] + [len(text)]
-    parts = [("Preamble", text[: edges[0]].strip())] if len(text[: edges[0]].strip()) > 100 else []
-    for m, edge in zip(found, edges[1:]):
-        line = text.find("\n", m.start())
-        line = edge if line < 0 or line > edge else line
-        parts.append((text[m.start() : line].strip()[:100], text[m.end() : edge].strip()))
-    out = []
-    for header, body in parts:
-        if len(body.split()) <= 10:
-            continue
-        out += [(header, f"[{source}] [{header}] {piece}", n) for piece in pack(body, limit, overlap) if (n := estimated(piece)) >= tiny]
-    return out
-
-
-_KIND = pa.list_(pa.struct([("section", pa.string()), ("text", pa.string()), ("token_count", pa.int32())]))
-_TYPE = "array<struct<section:string,text:string,token_count:int>>"
-
-
-def _chunked(texts: DataFrame, key: str, cut_text, extra: str | None = None) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.column(2).to_pylist() if extra else [None] * batch.num_rows
-            found = [cut_text(t, x) if t else [] for t, x in zip(batch.column(1).to_pylist(), rest)]
-            cells = [[dict(zip(("section", "text", "token_count"), c)) for c in cs] for cs in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, _KIND)], [key, "chunks"])
-
-    rows = texts.select(key, "text", *([extra] if extra else []))
-    out = rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, chunks {_TYPE}")
-    return out.select(key, F.posexplode("chunks").alias("chunk_index", "c")).select(key, "chunk_index", "c.*")
-
-
-def chunk_notes(notes: DataFrame, key: str = "note_id") -> DataFrame:
+        over = (F.size(acc["held"]) > 0) & (total(acc["held"]) + size > limit)
+        back = last_of(acc["held"])
+        # The repeated sentences must leave room for the new one.
+        kept = F.when(~over, acc["held"]).when(total(back) + size <= limit, back).otherwise(none)
+        plain = state(F.when(over, flushed(acc)).otherwise(acc["out"]), F.concat(kept, F.array(F.struct(sentence.alias("s"), size.alias("n")))), F.lit(True))
+        return F.when(size > limit, state(F.concat(flushed(acc), _word_runs(sentence, limit, overlap)), none, F.lit(False))).otherwise(plain)
+
+    begin = state(F.array().cast("array<string>"), none, F.lit(False))
+    packed = F.aggregate(F.split(text, r"(?<=[.!?])\s+"), begin, step, flushed)
+    return F.when(estimated(text) <= limit, F.array(text)).otherwise(packed)
+
+
+def _gathered(pieces: Column, tiny: int) -> Column:
+    """Tiny pieces are gathered until a large one follows or they are large enough together; at the end they join the last."""
+    kind = f"struct<ready:{_PIECES},small:{_PIECES}>"
+    none = F.array().cast(_PIECES)
+    state = lambda ready, small: F.struct(ready.alias("ready"), small.alias("small")).cast(kind)
+    together = lambda small: F.struct(small[0]["section"].alias("section"), F.array_join(F.transform(small, lambda x: x["text"]), "\n").alias("text"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        small = F.concat(acc["small"], F.array(piece))
+        held = F.when(estimated(together(small)["text"]) >= tiny, state(F.concat(acc["ready"], F.array(together(small))), none)).otherwise(state(acc["ready"], small))
+        before = F.when(F.size(acc["small"]) > 0, F.concat(acc["ready"], F.array(together(acc["small"])))).otherwise(acc["ready"])
+        return F.when(estimated(piece["text"]) < tiny, held).otherwise(state(F.concat(before, F.array(piece)), none))
+
+    def finish(acc: Column) -> Column:
+        ready, last = acc["ready"], F.element_at(acc["ready"], -1)
+        joined = F.struct(last["section"].alias("section"), F.concat(last["text"], F.lit("\n"), together(acc["small"])["text"]).alias("text"))
+        added = F.when(F.size(ready) > 0, F.concat(F.slice(ready, 1, F.size(ready) - 1), F.array(joined))).otherwise(F.array(together(acc["small"])))
+        return F.when(F.size(acc["small"]) > 0, added).otherwise(ready)
+
+    return F.aggregate(pieces, state(none, none), step, finish)
+
+
+def _rows(texts: DataFrame, key: str, chunks: Column) -> DataFrame:
+    """(key, chunk_index, section, text, token_count): the array of chunks, a row for each; a null or empty text gives none."""
+    return texts.where("text <> ''").select(key, F.posexplode(chunks).alias("chunk_index", "c")).select(key, "chunk_index", "c.*")
+
+
+def chunk_notes(notes: DataFrame, key: str = "note_id", limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> DataFrame:
     """(key, chunk_index, section, text, token_count) of notes with key and text; a null or empty text gives none."""
-    return _chunked(notes, key, lambda t, _: note_chunks_of(t))
+    pieces = F.flatten(F.transform(sections(F.col("text"), NOTE_PATTERN), lambda x: F.transform(pack(x["text"], limit, overlap), lambda p: F.struct(x["section"].alias("section"), p.alias("text")))))
+    named = lambda x: F.when(x["section"].isin(*PLAIN), x["text"]).otherwise(F.concat(F.lit("["), x["section"], F.lit("] "), x["text"]))
+    chunks = F.transform(_gathered(pieces, tiny), lambda x: F.struct(x["section"].alias("section"), named(x).alias("text"), estimated(named(x)).alias("token_count")))
+    return _rows(notes, key, chunks)
 
 
 def training_sections(notes: DataFrame, key: str = "note_id", least: int = 100) -> DataFrame:
     """(key, chunk_index, section, text, token_count): sections of at least ``least`` characters, by the note_type's headers."""
+    found = lambda p: sections(F.col("text"), p, "full_note", "preamble")
+    by_type = F.when(F.col("note_type") == "discharge", found(TRAINING_PATTERNS["discharge"])).when(F.col("note_type") == "radiology", found(TRAINING_PATTERNS["radiology"])).otherwise(found(CAPS_PATTERN))
+    chunks = F.transform(F.filter(by_type, lambda x: F.length(x["text"]) >= least), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text"), estimated(x["text"]).alias("token_count")))
+    return _rows(notes.where(F.length("text") >= least), key, chunks)
 
-    def cut_text(text: str, note_type: str | None) -> list[tuple[str, str, int]]:
-        if len(text) < least:
-            return []
-        return [(h, b, estimated(b)) for h, b in sections(text, TRAINING_PATTERNS.get(note_type, CAPS_PATTERN), "full_note", "preamble") if len(b) >= least]
 
-    return _chunked(notes, key, cut_text, "note_type")
+def chunk_guidelines(pages: DataFrame, key: str = "doc_id", source: str = "source", limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> DataFrame:
+    """(key, chunk_index, section, text, token_count) of cleaned guideline texts.
 
-
-def chunk_guidelines(pages: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(key, chunk_index, section, text, token_count) of cleaned guideline texts."""
-    clean = pages.withColumn("text", clean_page_text(F.col("text"))).withColumn(source, F.coalesce(source, F.lit("unknown")))
-    return _chunked(clean, key, lambda t, s: guideline_chunks_of(t, s), source)
+    Tiny chunks and sections of ten words or fewer are dropped. What stands before the first header counts from 100
+    characters on. Tokens are counted without the prefix.
+    """
+    clean = pages.select(key, clean_page_text(F.col("text")).alias("text"), F.coalesce(source, F.lit("unknown")).alias("source"))
+    parts = _parts(F.col("text"), GUIDELINE_PATTERN)
+    line = lambda p: F.substring(_stripped(F.substring_index(F.translate(p, END, ""), "\n", 1)), 1, 100)
+    each = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(line(p).alias("section"), _stripped(F.substring_index(p, END, -1)).alias("text")))
+    first = F.when(F.length(_stripped(parts[0])) > 100, F.array(F.struct(F.lit("Preamble").alias("section"), _stripped(parts[0]).alias("text")))).otherwise(F.array().cast(_PIECES))
+    long = F.filter(F.concat(first, each), lambda x: F.size(_words(x["text"])) > 10)
+    prefix = lambda x, p: F.concat(F.lit("["), F.col("source"), F.lit("] ["), x["section"], F.lit("] "), p)
+    chunks = F.flatten(F.transform(long, lambda x: F.transform(F.filter(pack(x["text"], limit, overlap), lambda p: estimated(p) >= tiny), lambda p: F.struct(x["section"].alias("section"), prefix(x, p).alias("text"), estimated(p).alias("token_count")))))
+    return _rows(clean, key, chunks)
 
 
 def window_chunks(texts: DataFrame, key: str, size: int = 100, stride: int = 80) -> DataFrame:

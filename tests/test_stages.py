@@ -131,17 +131,21 @@ def test_lexical(spark):
     assert lexical.bm25(q, chunks.limit(0)).count() == 0
 
 
-def test_chunking():
+def test_chunking(spark):
     sentence = "The patient was seen in clinic and the plan was made today."
-    for pieces in (chunking.pack(" ".join([sentence] * 90)), chunking.pack("word " * 2000)):
-        assert len(pieces) > 1
-    packed = chunking.pack(" ".join([sentence] * 90))
-    assert all(sum(chunking.estimated(x + ".") for x in p.split(".") if x.strip()) <= 384 for p in packed) and packed[1].startswith(sentence)
+    many = " ".join([sentence] * 90)
+    df = spark.createDataFrame([(1, many), (2, "word " * 2000), (3, "short text"), (4, many + " " + "word " * 600 + ". " + sentence)], "id int, t string")
+    packed = {r.id: r.p for r in df.select("id", chunking.pack(F.col("t")).alias("p")).collect()}
+    estimate = lambda t: int(len(t.split()) * 1.3)
+    assert len(packed[1]) > 1 and all(sum(estimate(x + ".") for x in p.split(".") if x.strip()) <= 384 for p in packed[1]) and packed[1][1].startswith(sentence)
+    assert len(packed[2]) > 1 and all(len(p.split()) <= 384 for p in packed[2]) and packed[3] == ["short text"] and packed[4][-1] == sentence
     note = "intro text\nALLERGIES: none\nHOSPITAL COURSE:\n" + " ".join([sentence] * 40)
-    out = chunking.note_chunks_of(note)
+    notes = spark.createDataFrame([(1, note, None), (2, "tiny", "x"), (3, None, None), (4, "", None), (5, "Findings: " + "a " * 60 + "\nImpression: " + "b " * 60, "radiology")], "note_id bigint, text string, note_type string")
+    out = [tuple(r)[2:] for r in chunking.chunk_notes(notes).where("note_id = 1").orderBy("chunk_index").collect()]
     assert out[0][0] == "PREAMBLE" and "none" in out[0][1] and out[1][1].startswith("[HOSPITAL COURSE] The patient")
-    assert chunking.note_chunks_of("tiny") == [("FULL_NOTE", "tiny", 1)]
-    assert chunking.sections("Findings: a\nImpression: b", chunking.TRAINING_PATTERNS["radiology"], "full_note", "preamble") == [("Findings", "a"), ("Impression", "b")]
+    assert [tuple(r) for r in chunking.chunk_notes(notes).where("note_id IN (2, 3, 4)").collect()] == [(2, 0, "FULL_NOTE", "tiny", 1)]
+    got = [(r.section, r.text) for r in chunking.training_sections(notes).where("note_id = 5").orderBy("chunk_index").collect()]
+    assert got == [("Findings", ("a " * 60).strip()), ("Impression", ("b " * 60).strip())]
 
 
 def test_redaction(spark):
