@@ -132,17 +132,19 @@ def judge_cached(s: SparkSession, d: str) -> DataFrame:
 
 
 def tolerant_json(s: SparkSession, d: str) -> DataFrame:
-    """Answers in six forms, some broken, read back."""
-    g = (F.col("item_id") % 5).cast("string")
-    forms = [F.concat(F.lit('{"score": '), g, F.lit("}")), F.concat(F.lit('```json\n{"score": "'), g, F.lit(' of 3"}\n```')), F.concat(F.lit('Sure: {"rating": '), g, F.lit(',} as asked')), F.concat(F.lit('{"relevance": '), g, F.lit(".5}")), F.lit("no answer"), F.concat(F.lit('{"reason": "x", "score": -'), g, F.lit("}"))]
-    raw = F.element_at(F.array(*forms), ((F.col("item_id") / 5).cast("long") % 6 + 1).cast("int"))
-    return table(s, d, "eval_passages").select("item_id", judging.parse_answer(raw).alias("score")).distinct()
+    """The judge's answers about every example, as models write them (fenced, in prose, with a comma too many), read back."""
+    rows = table(s, d, "training_examples").where("query IS NOT NULL AND positive IS NOT NULL").select("example_id", "query", "positive").distinct()
+    g = F.floor(T.overlap_ratio(F.col("query"), F.col("positive")) * 3.999).cast("string")
+    forms = [F.concat(F.lit('```json\n{"score": '), g, F.lit(',}\n```')), F.concat(F.lit('As asked: {"rating": "'), g, F.lit(' of 3"}.')), F.concat(F.lit('{"relevance": '), g, F.lit("}"))]
+    raw = F.element_at(F.array(*forms), F.pmod(F.length("positive"), F.lit(3)) + 1)
+    return rows.select("example_id", judging.parse_answer(raw).alias("score"))
 
 
 def median_votes(s: SparkSession, d: str) -> DataFrame:
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("example_id").cast("string")), i, 1)) - 1
-    votes = F.array(*[F.when(digit(i) < 12, (digit(i) % 4).cast("int")) for i in (1, 2, 3)])
-    return table(s, d, "training_examples").select("example_id", judging.median_vote(votes).alias("vote")).distinct()
+    """The median of three judges of every example: the share of shared words cut off, rounded, and only where all are shared."""
+    rows = table(s, d, "training_examples").where("query IS NOT NULL AND positive IS NOT NULL").select("example_id", F.round(T.overlap_ratio(F.col("query"), F.col("positive")), 9).alias("o")).distinct()
+    votes = F.array(F.floor(F.col("o") * 3.999).cast("int"), F.floor(F.col("o") * 3 + 0.5).cast("int"), F.when(F.col("o") >= 1, 3))
+    return rows.select("example_id", judging.median_vote(votes).alias("vote"))
 
 
 def token_estimates(s: SparkSession, d: str) -> DataFrame:
@@ -355,7 +357,6 @@ _KEY = "sha256(concat_ws(chr(0), 'v1', 'stand-in', query, substr(positive, 1, 40
 _AUDIT = f"a AS (SELECT DISTINCT example_id, query_type, query, positive, CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER) AS score FROM training_examples WHERE query IS NOT NULL AND positive IS NOT NULL)"
 _FIRST_LAB = "lab AS (SELECT itemid, arg_max(label, (loaded_at, label)) AS label FROM d_labitems WHERE itemid IS NOT NULL AND trim(label) <> '' GROUP BY itemid), f AS (SELECT hadm_id, label, labevent_id, valuenum, low, high FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id, label ORDER BY charttime NULLS FIRST, labevent_id NULLS FIRST) AS k FROM (SELECT DISTINCT hadm_id, subject_id, itemid, labevent_id, charttime, valuenum, ref_range_lower AS low, ref_range_upper AS high FROM labevents WHERE hadm_id IS NOT NULL AND lower(trim(flag)) = 'abnormal') JOIN lab USING (itemid)) WHERE k = 1)"
 _LAB_QUERIES = "SELECT hadm_id, label, labevent_id, unnest(CASE WHEN valuenum > high THEN ['elevated ' || lower(label) || ' workup and management', 'high ' || lower(label) || ' clinical significance'] WHEN valuenum < low THEN ['low ' || lower(label) || ' evaluation and treatment', 'decreased ' || lower(label) || ' clinical significance'] ELSE [lower(label) || ' abnormal result clinical context'] END) AS query FROM f"
-_DIGIT = "CASE WHEN strpos('0123456789abcdef', substr(md5(CAST(example_id AS VARCHAR)), {0}, 1)) - 1 < 12 THEN (strpos('0123456789abcdef', substr(md5(CAST(example_id AS VARCHAR)), {0}, 1)) - 1) % 4 END"
 _SIMPLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '[DATE]', 'g'), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '[DATE]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g')"
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
@@ -372,8 +373,8 @@ SQL = {
     "temporal_metrics": _TEMPORAL + " SELECT config, query_id, n_dated, hit1, hit3, newest_rank, round(monotonic, 6) AS monotonic, n_dates, round(same_admission, 6) AS same_admission FROM tm",
     "temporal_lift": _TEMPORAL + ", m AS (SELECT config, coalesce(avg(hit1), 0.0) AS hit1, coalesce(avg(hit3), 0.0) AS hit3, coalesce(avg(monotonic), 0.0) AS monotonic FROM tm GROUP BY config), b AS (SELECT hit1 AS b1, hit3 AS b3, monotonic AS bm FROM m WHERE config = 'all') SELECT config, round(hit1, 6) AS hit1, round(hit3, 6) AS hit3, round(monotonic, 6) AS monotonic, round(hit1 - coalesce(b1, 0), 6) AS lift_hit1, round(hit3 - coalesce(b3, 0), 6) AS lift_hit3, round(monotonic - coalesce(bm, 0), 6) AS lift_monotonic FROM m LEFT JOIN b ON true",
     "judge_cached": f"SELECT key, CASE WHEN substr(key, 1, 1) < '4' THEN 2 ELSE score END AS score, substr(key, 1, 1) < '4' AS cached FROM (SELECT {_KEY} AS key, max(CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER)) AS score FROM training_examples WHERE query IS NOT NULL AND positive IS NOT NULL GROUP BY 1)",
-    "tolerant_json": "SELECT DISTINCT item_id, CAST(CASE item_id // 5 % 6 WHEN 0 THEN least(3, item_id % 5) WHEN 1 THEN least(3, item_id % 5) WHEN 2 THEN least(3, item_id % 5) WHEN 3 THEN least(3, CASE item_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 4 END) WHEN 4 THEN NULL ELSE 0 END AS INTEGER) AS score FROM eval_passages",
-    "median_votes": f"SELECT DISTINCT example_id, CAST(v[len(v) // 2 + 1] AS INTEGER) AS vote FROM (SELECT example_id, list_sort(list_filter([{_DIGIT.format(1)}, {_DIGIT.format(2)}, {_DIGIT.format(3)}], lambda x: x IS NOT NULL)) AS v FROM training_examples)",
+    "tolerant_json": f"SELECT example_id, CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER) AS score FROM (SELECT DISTINCT example_id, query, positive FROM training_examples WHERE query IS NOT NULL AND positive IS NOT NULL)",
+    "median_votes": f"SELECT example_id, v[len(v) // 2 + 1] AS vote FROM (SELECT example_id, list_sort(list_filter([CAST(floor(o * 3.999) AS INTEGER), CAST(floor(o * 3 + 0.5) AS INTEGER), CASE WHEN o >= 1 THEN 3 END], lambda x: x IS NOT NULL)) AS v FROM (SELECT DISTINCT example_id, round({_overlap_sql('positive')}, 9) AS o FROM training_examples WHERE query IS NOT NULL AND positive IS NOT NULL))",
     "token_estimates": r"SELECT doc_id, CAST(floor(coalesce(length(regexp_extract_all(text, '\S+')), 0) * 1.3) AS BIGINT) AS tokens FROM documents",
     "sentence_split": r"SELECT doc_id, pos - 1 AS pos, md5(s[pos]) AS sentence_md5 FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents WHERE text IS NOT NULL))",
     "window_chunks": f"SELECT doc_id, i AS chunk_index, md5(array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS text_md5 FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 80 + 1)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0)",

@@ -156,12 +156,17 @@ def coerced_results(s: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_times(s: SparkSession, d: str) -> DataFrame:
-    """Times written in four ways, one of them not a time, and read back."""
+    """The results' times as the files that they come in have them, in four ways, one of them not a time, read back."""
     form = F.col("labevent_id") % 4
     written = F.when(form == 0, F.date_format("charttime", "yyyy-MM-dd HH:mm:ss")).when(form == 1, F.concat(F.date_format("charttime", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(form == 2, F.date_format("charttime", "MM/dd/yyyy HH:mm")).otherwise("NaT")
     return table(s, d, "labevents").select("labevent_id", C.lenient_timestamp(written).alias("t")).distinct()
 
 
+def first_preview(s: SparkSession, d: str) -> DataFrame:
+    """The first note's first 500 characters."""
+    return table(s, d, "deid_results").where("note_id IS NOT NULL AND original_text IS NOT NULL").orderBy("note_id", "original_text").limit(1).select("note_id", F.substring("original_text", 1, 500).alias("preview"))
+
+
 def sample_cohort(s: SparkSession, d: str) -> DataFrame:
     return cohort.sample_patients(table(s, d, "patients"), "subject_id", 10_000)
 
@@ -184,7 +189,7 @@ QUERIES = {f.__name__: f for f in (
     profile_counts, profile_shares, profile_note_types, profile_ages, profile_chunk_sizes, profile_conditions, profile_top_codes, profile_top_principal,
     profile_heavy_admitters, profile_lab_means, profile_lengths, profile_ratios, profile_coverage, profile_most_negatives, patients_with_timelines,
     notes_with_many_chunks, chunks_per_section, index_coverage, repeat_admissions, cohort_select, guideline_diagnoses, cohort_labs, exclude_cohort,
-    first_labs_per_patient, upsert_first_wins, cascade_chunks, index_incremental, coalesced_texts, coerced_results, parsed_times, sample_cohort,
+    first_labs_per_patient, upsert_first_wins, cascade_chunks, index_incremental, coalesced_texts, coerced_results, parsed_times, first_preview, sample_cohort,
     split_examples, split_sizes, union_notes,
 )}
 
@@ -255,6 +260,7 @@ SQL = {
     "coalesced_texts": "SELECT DISTINCT note_id, length(coalesce(text, original_text)) AS length, text IS NULL AS raw FROM deid_results WHERE coalesce(text, original_text) <> ''",
     "coerced_results": r"SELECT DISTINCT labevent_id, try_cast(trim(value) AS DOUBLE) AS as_float, CAST(trunc(try_cast(trim(value) AS DOUBLE)) AS INTEGER) AS as_int, CASE WHEN regexp_matches(trim(value), '^[-+]?[0-9]+$') THEN try_cast(trim(value) AS INTEGER) END AS as_strict_int FROM labevents",
     "parsed_times": "SELECT DISTINCT labevent_id, CASE labevent_id % 4 WHEN 2 THEN date_trunc('minute', charttime) WHEN 3 THEN NULL ELSE date_trunc('second', charttime) END AS t FROM labevents",
+    "first_preview": "SELECT note_id, left(original_text, 500) AS preview FROM deid_results WHERE note_id IS NOT NULL AND original_text IS NOT NULL ORDER BY note_id, original_text LIMIT 1",
     "sample_cohort": "SELECT subject_id FROM (SELECT DISTINCT subject_id FROM patients WHERE subject_id IS NOT NULL) ORDER BY md5(concat_ws(':', CAST(subject_id AS VARCHAR), '42')), subject_id LIMIT 10000",
     "split_examples": _SPLIT,
     "split_sizes": f"SELECT by_example, by_note, count(*) AS n FROM ({_SPLIT}) GROUP BY by_example, by_note",
