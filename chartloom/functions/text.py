@@ -54,6 +54,7 @@ def temporal_mode(question: Column) -> Column:
 
 def clean_page_text(text: Column) -> Column:
     """Text of extracted pages without broken words, page headers, copyright lines and page numbers."""
+    # The six steps, in this order.
     steps = ((r"(\w)-\n(\w)", "$1$2"), (r"\n{3,}", "\n\n"), (r"(?m)^S\d+\s+Diabetes Care.*$", ""), (r"(?m)^©\s*\d{4}.*$", ""), (r"(?m)^\d+\s*$", ""), (r"[ \t]+", " "))
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)

@@ -89,7 +89,9 @@ def context_windows(results: DataFrame, chunks: DataFrame, width: int = 1, budge
     """
     near = chunks.select("note_id", F.col("chunk_index").alias("n_index"), F.col("text").alias("n_text"), F.col("tokens").alias("n_tokens"))
     keys = [c for c in ("query_id", "chunk_id") if c in results.columns]
-    joined = results.select(*keys, "note_id", "chunk_index").join(near, "note_id").where(F.abs(F.col("n_index") - F.col("chunk_index")) <= width)
+    # The places wanted, so that the join meets only these and not all chunks of a note.
+    wanted = F.explode(F.sequence(F.col("chunk_index") - width, F.col("chunk_index") + width)).alias("n_index")
+    joined = results.select(*keys, "note_id", "chunk_index", wanted).join(near, ["note_id", "n_index"])
     first = [F.desc(F.col("n_index") == F.col("chunk_index"))] if anchor_first else []
     w = Window.partitionBy(*keys).orderBy(*first, "n_index").rowsBetween(Window.unboundedPreceding, 0)
     fit = joined.withColumn("used", F.sum("n_tokens").over(w)).where(F.col("used") <= budget)

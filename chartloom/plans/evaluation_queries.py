@@ -358,6 +358,12 @@ _AUDIT = f"a AS (SELECT DISTINCT example_id, query_type, query, positive, CAST(f
 _FIRST_LAB = "lab AS (SELECT itemid, arg_max(label, (loaded_at, label)) AS label FROM d_labitems WHERE itemid IS NOT NULL AND trim(label) <> '' GROUP BY itemid), f AS (SELECT hadm_id, label, labevent_id, valuenum, low, high FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id, label ORDER BY charttime NULLS FIRST, labevent_id NULLS FIRST) AS k FROM (SELECT DISTINCT hadm_id, subject_id, itemid, labevent_id, charttime, valuenum, ref_range_lower AS low, ref_range_upper AS high FROM labevents WHERE hadm_id IS NOT NULL AND lower(trim(flag)) = 'abnormal') JOIN lab USING (itemid)) WHERE k = 1)"
 _LAB_QUERIES = "SELECT hadm_id, label, labevent_id, unnest(CASE WHEN valuenum > high THEN ['elevated ' || lower(label) || ' workup and management', 'high ' || lower(label) || ' clinical significance'] WHEN valuenum < low THEN ['low ' || lower(label) || ' evaluation and treatment', 'decreased ' || lower(label) || ' clinical significance'] ELSE [lower(label) || ' abnormal result clinical context'] END) AS query FROM f"
 _SIMPLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(original_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b\d{4}-\d{2}-\d{2}\b', '[DATE]', 'g'), '\b\d{1,2}/\d{1,2}/\d{2,4}\b', '[DATE]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g')"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_MARKED = lambda p: rf"regexp_replace(text, {_q(p.replace('(?imd)', '(?im)').replace('(?md)', '(?m)'))}, chr(1) || '\1' || chr(2), 'g')"
+_SECTIONS = f"""WITH n AS (SELECT DISTINCT note_id, note_type, original_text AS text FROM deid_results WHERE note_id IS NOT NULL AND length(original_text) >= 100),
+ p AS (SELECT note_id, text, string_split(CASE note_type WHEN 'discharge' THEN {_MARKED(chunking.TRAINING_PATTERNS['discharge'])} WHEN 'radiology' THEN {_MARKED(chunking.TRAINING_PATTERNS['radiology'])} ELSE {_MARKED(chunking.CAPS_PATTERN)} END, chr(1)) AS s FROM n),
+ x AS (SELECT note_id, CASE WHEN len(s) = 1 THEN [{{'section': 'full_note', 'text': text}}] ELSE [{{'section': 'preamble', 'text': {_STRIP.format('s[1]')}}}] || list_transform(s[2:], lambda y: {{'section': {_STRIP.format('split_part(y, chr(2), 1)')}, 'text': {_STRIP.format('split_part(y, chr(2), 2)')}}}) END AS s FROM p),
+ f AS (SELECT note_id, list_filter(s, lambda y: length(y.text) >= 100) AS s FROM x), u AS (SELECT note_id, i, s[i + 1] AS c FROM (SELECT note_id, s, unnest(range(len(s))) AS i FROM f))"""
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
 SQL = {
@@ -378,6 +384,7 @@ SQL = {
     "token_estimates": r"SELECT doc_id, CAST(floor(coalesce(length(regexp_extract_all(text, '\S+')), 0) * 1.3) AS BIGINT) AS tokens FROM documents",
     "sentence_split": r"SELECT doc_id, pos - 1 AS pos, md5(s[pos]) AS sentence_md5 FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents WHERE text IS NOT NULL))",
     "window_chunks": f"SELECT doc_id, i AS chunk_index, md5(array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS text_md5 FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 80 + 1)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0)",
+    "training_sections": _SECTIONS + r" SELECT note_id, i AS chunk_index, c.section AS section, c.text AS text, CAST(floor(length(regexp_extract_all(c.text, '\S+')) * 1.3) AS BIGINT) AS token_count FROM u",
     "cleaned_pages": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)^S\d+\s+Diabetes Care.*$', '', 'g'), '(?m)^©\s*\d{4}.*$', '', 'g'), '(?m)^\d+\s*$', '', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents WHERE note_type = 'guideline' AND text IS NOT NULL",
     "phi_simple": f"SELECT note_id, md5({_SIMPLE}) AS redacted_md5 FROM (SELECT DISTINCT note_id, note_type, original_text FROM deid_results WHERE note_id IS NOT NULL)",
     "phi_recall": rf"WITH r AS (SELECT DISTINCT note_id, original_text, text FROM deid_results WHERE note_id IS NOT NULL AND original_text IS NOT NULL AND text IS NOT NULL), e AS (SELECT 'EMAIL_ADDRESS' AS type, text, unnest(regexp_extract_all(original_text, '{MAILBOX}')) AS v FROM r UNION ALL SELECT 'US_SSN', text, unnest(regexp_extract_all(original_text, '\b\d{{3}}-\d{{2}}-\d{{4}}\b')) FROM r) SELECT type, count(*) AS n, count(*) FILTER (NOT contains(text, v)) AS n_caught, round(count(*) FILTER (NOT contains(text, v)) / count(*), 6) AS recall FROM e GROUP BY type",

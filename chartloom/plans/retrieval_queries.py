@@ -353,6 +353,7 @@ _SCOPED_FINAL = f"""SELECT query_id, chunk_id, sources, round(CASE WHEN mode IN
 SQL = {
     "lexical_bm25": with_ctes([*_BM25, "qw", "bm", "bm_ranked"], "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm_ranked"),
     "lexical_two_pass": with_ctes(_LEX, "SELECT query_id, CAST(pass AS BIGINT) AS pass, chunk_id, round(score, 6) AS score, rank, round((score - min(score) OVER p) / CASE WHEN max(score) OVER p > min(score) OVER p THEN max(score) OVER p - min(score) OVER p ELSE 1.0 END, 6) AS norm FROM lex WINDOW p AS (PARTITION BY query_id)"),
+    "lexical_note_level": with_ctes(["chunks", "good", *[n for n in _BM25 if n not in ("chunks", "good")], "q", "qw", "bm", "bm_ranked"], "SELECT query_id, chunk_id, note_id, round(score, 6) AS score, rank FROM (SELECT b.query_id, c.chunk_id, c.note_id, b.score, row_number() OVER (PARTITION BY b.query_id ORDER BY round(b.score, 9) DESC, c.chunk_id) AS rank FROM bm_ranked b JOIN chunks c ON c.note_id = b.chunk_id) WHERE rank <= 60", {"good": "SELECT note_id AS chunk_id, string_agg(text, chr(10) ORDER BY chunk_index, chunk_id) AS text FROM chunks GROUP BY note_id"}),
     "expanded_queries": with_ctes(["allq", "dict", "terms0", "terms"], "SELECT query_id, coalesce(string_agg(term, '|' ORDER BY grp), '') AS terms, count(term) AS n_terms FROM allq LEFT JOIN terms USING (query_id) GROUP BY query_id", q="allq"),
     "vector_topk": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(a.v, b.v) AS score FROM v a, v b WHERE a.vec_id % 20 = 0) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 60",
     "vector_topk_v1": with_ctes(["chunks", "q", "vq", "vc", "sims", "vec"], "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM vec", pool="chunks", top="50"),
