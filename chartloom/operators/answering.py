@@ -32,6 +32,18 @@ def grounded_answers(asked: DataFrame, generate: Callable[[Column, Column, Colum
     return out.withColumns({"refused": F.col("answer") == REFUSAL, "has_valid_citation": F.arrays_overlap("tags", have)}).withColumn("grounded", ~F.col("refused") & (F.size("tags") > 0))
 
 
+def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` (key, tag and others) that the answer of the same key cites; tags of no source count for nothing."""
+    cited = answers.select("key", F.explode("tags").alias("tag"))
+    return sources.join(cited, ["key", "tag"], "left_semi")
+
+
 def sweep_summary(answers: DataFrame) -> DataFrame:
-    """(n, n_grounded, n_refused, n_valid) over a sweep."""
-    return answers.agg(F.count("*").alias("n"), F.count_if("grounded").alias("n_grounded"), F.count_if("refused").alias("n_refused"), F.count_if("has_valid_citation").alias("n_valid"))
+    """(n, n_grounded, n_refused, n_valid, n_errored, n_zero_hits) over a sweep; a null answer is an error, zero hits are questions with no block."""
+    nothing = F.trim(F.concat_ws("", "labs", "notes")) == ""
+    return answers.agg(F.count("*").alias("n"), F.count_if("grounded").alias("n_grounded"), F.count_if("refused").alias("n_refused"), F.count_if("has_valid_citation").alias("n_valid"), F.count_if(F.col("answer").isNull()).alias("n_errored"), F.count_if(nothing).alias("n_zero_hits"))
+
+
+def zero_hits(answers: DataFrame) -> DataFrame:
+    """(key, question) of the questions that no block was found for."""
+    return answers.where(F.trim(F.concat_ws("", "labs", "notes")) == "").select("key", "question")

@@ -35,6 +35,8 @@ HIGH, RUN = 0.85, 6
 TIMES = 8.0
 #: Rounds of fitting a series' model.
 ROUNDS = 2
+#: More long series than this are joined without a broadcast.
+MAX_SERIES = 500_000
 #: States: normal, first and second reading of a spike, the first to RUN-th and later readings of a stuck run, out of range.
 NORMAL, SPIKE, SECOND, STUCK, OUT = 0, 1, 2, 3, 3 + RUN
 STATES = OUT + 1
@@ -432,7 +434,7 @@ def _series_totals(measures: DataFrame) -> DataFrame:
     kinds = (("off", "level", 0.5), ("apart", "high_apart", HIGH), ("size", "size", 0.5))
     values = measures.select(*SERIES, F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.lit(q).alias("q"), F.col(c).alias("value")) for c, name, q in kinds])).alias("v")).select(*SERIES, "v.*").where("value IS NOT NULL")
     most = values.groupBy(*SERIES, "kind").agg((F.count("*") - 1).alias("most"))
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy(*SERIES, "kind").orderBy("value")) - 1).join(F.broadcast(most), [*SERIES, "kind"])
+    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy(*SERIES, "kind").orderBy("value")) - 1).join(broadcast_if_small(most, MAX_SERIES), [*SERIES, "kind"])
     p = F.col("most") * F.col("q")
     pick = lambda place: F.max(F.when(F.col("rank") == F.floor(place), F.col("value")))
     picked = ranked.groupBy(*SERIES, "kind").agg(((pick(p) + pick(F.least(p + 0.5, F.col("most").cast("double")))) / 2).alias("value"))
@@ -452,20 +454,19 @@ def implausible(readings: DataFrame, block_rows: int = 8192) -> DataFrame:
     readings = readings.select("labevent_id", *SERIES, "charttime", "num", "unit", "x", "low", "high").where("labevent_id IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
     outside = readings.where("x < low OR x > high").select("labevent_id", F.lit("impossible").alias("reading_kind"))
     # At most one row for each block_rows readings.
-    long = cut(readings.groupBy(*SERIES).count().where(F.col("count") > block_rows).select(*SERIES))
+    long = broadcast_if_small(cut(readings.groupBy(*SERIES).count().where(F.col("count") > block_rows).select(*SERIES)), MAX_SERIES)
     columns = ["labevent_id", "x", "num", "unit", "low", "high", "own"]
     key = [*SERIES, "block"]
     placed = lambda df: df.repartition(*key).sortWithinPartitions(*key, "charttime", "labevent_id")
-    whole = readings.join(F.broadcast(long), SERIES, "left_anti").withColumns({"block": F.lit(0), "own": F.lit(True)})
+    whole = readings.join(long, SERIES, "left_anti").withColumns({"block": F.lit(0), "own": F.lit(True)})
     flags = placed(whole).select(*key, *columns).mapInArrow(_flag_batches, SCHEMA)
     if not long.isEmpty():
-        parts = cut(_blocks(readings.join(F.broadcast(long), SERIES), block_rows))
-        totals = cut(_series_totals(placed(parts).select(*key, *columns).mapInArrow(_measure_batches, MEASURES)))
-        # One row for each long series, which there is at most one of for block_rows readings.
-        known, more = parts.join(F.broadcast(totals), SERIES), TOTALS
+        parts = cut(_blocks(readings.join(long, SERIES), block_rows))
+        totals = cut(_series_totals(cut(placed(parts).select(*key, *columns).mapInArrow(_measure_batches, MEASURES))))
+        known, more = parts.join(broadcast_if_small(totals, MAX_SERIES), SERIES), TOTALS
         for _ in range(ROUNDS):
             sums = placed(known).select(*key, *columns, *more).mapInArrow(_sum_batches, SUM_SCHEMA).groupBy(*SERIES).agg(*[F.sum(c).alias(c) for c in SUMS])
-            known, more = parts.join(F.broadcast(totals.join(cut(sums), SERIES)), SERIES), (*TOTALS, *SUMS)
+            known, more = parts.join(broadcast_if_small(totals.join(cut(sums), SERIES), MAX_SERIES), SERIES), (*TOTALS, *SUMS)
         flags = flags.unionByName(placed(known).select(*key, *columns, *more).mapInArrow(_flag_batches, SCHEMA))
     return outside.unionByName(flags.select("labevent_id", "reading_kind")).distinct()
 

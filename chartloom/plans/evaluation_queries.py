@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
@@ -312,11 +312,49 @@ def sweep_summary(s: SparkSession, d: str) -> DataFrame:
     return answering.sweep_summary(answers(s, d))
 
 
+def cited_sources(s: SparkSession, d: str) -> DataFrame:
+    """The chunks that the answers cite, by their tags."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    rows = R._with_context(s, d).where(F.trim(F.coalesce("context_text", F.lit(""))) != "").withColumn("n", F.row_number().over(w))
+    sources = rows.select(F.col("query_id").alias("key"), F.concat(F.lit("S"), F.col("n").cast("string")).alias("tag"), "chunk_id")
+    return answering.cited_sources(answers(s, d), sources)
+
+
+def _sampled(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    draw = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key]))
+    return rows.orderBy(draw, *key).limit(n)
+
+
+def audit_sample(s: SparkSession, d: str) -> DataFrame:
+    """400 positives and 100 negatives for an audit, drawn by a hash."""
+    rows = table(s, d, "training_examples").where("example_id IS NOT NULL").select("example_id", "negatives").distinct()
+    yes = _sampled(rows.select("example_id").distinct(), 400, "example_id").select("example_id", F.lit(None).cast("string").alias("chunk_id"), F.lit("positive").alias("kind"))
+    no = rows.select("example_id", F.explode("negatives.chunk_id").alias("chunk_id")).where("chunk_id IS NOT NULL").distinct()
+    return yes.unionByName(_sampled(no, 100, "example_id", "chunk_id").withColumn("kind", F.lit("negative")))
+
+
+def audit_negatives(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "training_examples").where("query IS NOT NULL").select("query", F.explode("negatives").alias("n")).where("n.text IS NOT NULL").select("query", F.col("n.text").alias("text"), F.col("n.neg_type").alias("neg_type")).distinct()
+    return mining.audit_breakdown(rows.withColumn("score", judging.parse_answer(_overlap_judge(F.col("query"), F.col("text")))), "neg_type")
+
+
+def chunks_per_source(s: SparkSession, d: str) -> DataFrame:
+    texts = table(s, d, "documents").where("text IS NOT NULL")
+    return chunking.window_chunks(texts, "doc_id").join(texts.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+def temporal_patients(s: SparkSession, d: str) -> DataFrame:
+    """The two patients with the most times, then notes, of those with at least four notes at three times."""
+    notes = table(s, d, "deid_results").where("subject_id IS NOT NULL AND note_id IS NOT NULL").groupBy("subject_id").agg(F.countDistinct("note_id").alias("n_notes"), F.countDistinct("charttime").alias("n_times"))
+    return notes.where("n_notes >= 4 AND n_times >= 3").orderBy(F.desc("n_times"), F.desc("n_notes"), "subject_id").limit(2)
+
+
 QUERIES = {f.__name__: f for f in (
     lab_router, lab_series, lab_series_latest, lab_blocks, lab_questions, keyword_judge, ir_metrics, pooled_metrics, config_rollup, head_to_head, temporal_metrics,
     temporal_lift, judge_cached, tolerant_json, median_votes, token_estimates, sentence_split, window_chunks, section_chunks, training_sections, guideline_chunks,
     cleaned_pages, phi_entities, phi_redacted, phi_histogram, phi_simple, phi_recall, lab_pseudo_queries, diagnosis_pseudo_queries, keyword_overlap, best_positive,
     hard_negatives, mined_examples, false_negatives, triplets, labelled_pairs, dataset_stats, audit_distribution, audit_verdict, audit_breakdown, grounded_answers, sweep_summary,
+    cited_sources, audit_sample, audit_negatives, chunks_per_source, temporal_patients,
 )}
 
 _q = R._quoted
@@ -396,6 +434,10 @@ SQL = {
     "labelled_pairs": "SELECT query, md5(positive) AS document_md5, 1 AS label FROM training_examples UNION ALL SELECT query, md5(n.text), 0 FROM (SELECT query, unnest(negatives) AS n FROM training_examples)",
     "dataset_stats": "WITH x AS (SELECT 'query_type' AS kind, query_type AS value FROM training_examples UNION ALL SELECT 'neg_type', n.neg_type FROM (SELECT unnest(negatives) AS n FROM training_examples)) SELECT kind, value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY kind), 4) AS pct FROM x GROUP BY kind, value",
     "false_negatives": f"WITH f AS (SELECT DISTINCT query, n.text AS positive, n.neg_type AS neg_type FROM (SELECT query, unnest(negatives) AS n FROM training_examples WHERE query IS NOT NULL) WHERE n.text IS NOT NULL), g AS (SELECT neg_type, CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER) AS score FROM f) SELECT neg_type, count(*) AS n, count(*) FILTER (score >= 2) AS n_relevant, round(count(*) FILTER (score >= 2) / count(*), 6) AS share, CASE WHEN count(*) FILTER (score >= 2) / count(*) > 0.15 THEN 'review negatives' END AS advice FROM g GROUP BY neg_type",
+    "audit_negatives": f"WITH f AS (SELECT DISTINCT query, n.text AS positive, n.neg_type AS neg_type FROM (SELECT query, unnest(negatives) AS n FROM training_examples WHERE query IS NOT NULL) WHERE n.text IS NOT NULL), g AS (SELECT neg_type, CAST(floor(({_overlap_sql('positive')}) * 3.999) AS INTEGER) AS score FROM f) SELECT neg_type, count(*) AS n, round(avg(score), 6) AS mean, round(100.0 * avg(CAST(score >= 2 AS INT)), 4) AS good_pct, CASE WHEN neg_type IN ('lab', 'medication') AND round(avg(score), 6) < 1.5 THEN 'review templates' END AS advice FROM g GROUP BY neg_type",
+    "audit_sample": "WITH n AS (SELECT DISTINCT example_id, c.chunk_id AS chunk_id FROM (SELECT example_id, unnest(negatives) AS c FROM training_examples WHERE example_id IS NOT NULL) WHERE c.chunk_id IS NOT NULL) SELECT * FROM (SELECT example_id, CAST(NULL AS VARCHAR) AS chunk_id, 'positive' AS kind FROM (SELECT DISTINCT example_id FROM training_examples WHERE example_id IS NOT NULL) ORDER BY md5(CAST(example_id AS VARCHAR)), example_id LIMIT 400) UNION ALL SELECT * FROM (SELECT example_id, chunk_id, 'negative' AS kind FROM n ORDER BY md5(CAST(example_id AS VARCHAR) || ':' || chunk_id), example_id, chunk_id LIMIT 100)",
+    "chunks_per_source": f"SELECT source, CAST(sum((len(w) - 1) // 80 + 1) AS BIGINT) AS n FROM (SELECT source, {_WORDS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0 GROUP BY source",
+    "temporal_patients": "SELECT subject_id, count(DISTINCT note_id) AS n_notes, count(DISTINCT charttime) AS n_times FROM deid_results WHERE subject_id IS NOT NULL AND note_id IS NOT NULL GROUP BY subject_id HAVING n_notes >= 4 AND n_times >= 3 ORDER BY n_times DESC, n_notes DESC, subject_id LIMIT 2",
     "audit_distribution": f"WITH {_AUDIT}, c AS (SELECT score, count(*) AS n FROM a GROUP BY score) SELECT CAST(s.score AS INTEGER) AS score, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM a), 4) AS pct FROM range(4) AS s(score) LEFT JOIN c ON c.score = s.score",
     "audit_verdict": f"WITH {_AUDIT}, o AS (SELECT count(*) AS n, round(avg(score), 6) AS mean, round(100.0 * count(*) FILTER (score >= 2) / count(*), 4) AS good_pct, count(*) FILTER (score < 0) AS errors FROM a) SELECT *, CASE WHEN good_pct >= 80 THEN 'GOOD' WHEN good_pct >= 60 THEN 'MODERATE' ELSE 'LOW' END AS verdict FROM o",
     "audit_breakdown": f"WITH {_AUDIT} SELECT query_type, count(*) AS n, round(avg(score), 6) AS mean, round(100.0 * avg(CAST(score >= 2 AS INT)), 4) AS good_pct, CASE WHEN query_type IN ('lab', 'medication') AND round(avg(score), 6) < 1.5 THEN 'review templates' END AS advice FROM a GROUP BY query_type",

@@ -18,11 +18,29 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath()) for s in found) if found else []
 
 
-def find_file(spark: SparkSession, folder: str, name: str, by_prefix: bool = False) -> str | None:
-    """The path of name.csv.gz, else name.csv, else with ``by_prefix`` of the first file whose name starts so, else None."""
+def _paths_below(spark: SparkSession, folder: str) -> list[str]:
+    """All files below a folder, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], system.listFiles(path, True) if system.exists(path) else None
+    while files is not None and files.hasNext():
+        found.append(str(files.next().getPath()))
+    return sorted(found)
+
+
+def find_file(spark: SparkSession, folder: str, name: str, by_prefix: bool = False, below: bool = False) -> str | None:
+    """The path of name.csv.gz, else name.csv, else with ``by_prefix`` of the first file whose name starts so, else None.
+
+    With ``below`` the folders in ``folder`` are searched as well, those nearer to it first.
+    """
     for pattern in (f"{name}.csv.gz", f"{name}.csv", *([f"{name}*"] if by_prefix else [])):
         if found := _paths(spark, f"{folder}/{pattern}"):
             return found[0]
+    if below:
+        every = sorted(_paths_below(spark, folder), key=lambda p: (p.count("/"), p))
+        for fits in (lambda f: f == f"{name}.csv.gz", lambda f: f == f"{name}.csv", lambda f: by_prefix and f.startswith(name)):
+            if found := [p for p in every if fits(p.rsplit("/", 1)[-1])]:
+                return found[0]
     return None
 
 
@@ -57,8 +75,8 @@ def load_table(spark: SparkSession, folder: str, name: str, columns: dict[str, C
 
 
 def load_dictionary(spark: SparkSession, folder: str, name: str = "d_labitems", columns: tuple[str, ...] = ("itemid", "label", "fluid", "category")) -> DataFrame:
-    """The item dictionary: header in any letter case, known columns only, missing ones null, rows without itemid left out."""
-    path = find_file(spark, folder, name, by_prefix=True)
+    """The item dictionary, in ``folder`` or below: header in any letter case, known columns only, missing ones null, rows without itemid left out."""
+    path = find_file(spark, folder, name, by_prefix=True, below=True)
     if path is None:
         raise FileNotFoundError(f"no {name} in {folder}")
     df = read_csv(spark, path)

@@ -29,6 +29,10 @@ def test_csv(spark, tmp_path):
 def test_dictionary_notes_and_lists(spark, tmp_path):
     (tmp_path / "d_labitems_v2.csv").write_text("ITEMID,Label\n5,Potassium\nx,Bad\n")
     assert [tuple(r) for r in readers.load_dictionary(spark, str(tmp_path)).collect()] == [(5, "Potassium", None, None)]
+    deep = tmp_path / "more" / "hosp"
+    deep.mkdir(parents=True)
+    (deep / "d_labitems.csv").write_text("itemid,label\n6,Sodium\n")
+    assert [r.itemid for r in readers.load_dictionary(spark, str(tmp_path / "more")).collect()] == [6]
     for kind in ("discharge", "radiology"):
         (tmp_path / f"{kind}.csv").write_text("note_id,subject_id,hadm_id,charttime,storetime,text\n" + "".join(f'{kind}{i},1,2,,,"a\nb"\n' for i in range(3)))
     notes = readers.load_notes(spark, str(tmp_path), limit_per_kind=2)
