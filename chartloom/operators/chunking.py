@@ -73,9 +73,8 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK + END, "  "), pattern, f"{MARK}$1{END}"), MARK)
 
 
-def sections(text: Column, pattern: str, whole: str = "FULL_NOTE", before: str = "PREAMBLE") -> Column:
-    """Array of (section, text) of each section that has any text; a text without headers is one section."""
-    parts = _parts(text, pattern)
+def sections(parts: Column, text: Column, whole: str = "FULL_NOTE", before: str = "PREAMBLE") -> Column:
+    """Array of (section, text) of each section that has any text; a text without headers is one section. ``parts`` are those of ``_parts``."""
     name = lambda h: F.upper(F.regexp_replace(h, r"[:\s]+$", "")) if whole.isupper() else _stripped(h)
     each = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(name(F.substring_index(p, END, 1)).alias("section"), _stripped(F.substring_index(p, END, -1)).alias("text")))
     first = F.array(F.struct(F.lit(before).alias("section"), _stripped(parts[0]).alias("text")))
@@ -106,17 +105,18 @@ def pack(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
         add = lambda a, x: F.when(more(a, x), F.struct(F.concat(F.array(x), a["items"]).alias("items"), (a["total"] + x["n"]).alias("total"), F.lit(True).alias("open")).cast(inner)).otherwise(F.struct(a["items"].alias("items"), a["total"].alias("total"), F.lit(False).alias("open")).cast(inner))
         return F.aggregate(F.reverse(held), F.struct(none.alias("items"), F.lit(0).alias("total"), F.lit(True).alias("open")).cast(inner), add, lambda a: a["items"])
 
-    def step(acc: Column, sentence: Column) -> Column:
-        size = estimated(sentence)
+    def step(acc: Column, x: Column) -> Column:
+        sentence, size = x["s"], x["n"]
         over = (F.size(acc["held"]) > 0) & (total(acc["held"]) + size > limit)
         back = last_of(acc["held"])
         # The repeated sentences must leave room for the new one.
         kept = F.when(~over, acc["held"]).when(total(back) + size <= limit, back).otherwise(none)
-        plain = state(F.when(over, flushed(acc)).otherwise(acc["out"]), F.concat(kept, F.array(F.struct(sentence.alias("s"), size.alias("n")))), F.lit(True))
+        plain = state(F.when(over, flushed(acc)).otherwise(acc["out"]), F.concat(kept, F.array(x)), F.lit(True))
         return F.when(size > limit, state(F.concat(flushed(acc), _word_runs(sentence, limit, overlap)), none, F.lit(False))).otherwise(plain)
 
     begin = state(F.array().cast("array<string>"), none, F.lit(False))
-    packed = F.aggregate(F.split(text, r"(?<=[.!?])\s+"), begin, step, flushed)
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda t: F.struct(t.alias("s"), estimated(t).alias("n")))
+    packed = F.aggregate(sentences, begin, step, flushed)
     return F.when(estimated(text) <= limit, F.array(text)).otherwise(packed)
 
 
@@ -144,23 +144,29 @@ def _gathered(pieces: Column, tiny: int) -> Column:
 
 def _rows(texts: DataFrame, key: str, chunks: Column) -> DataFrame:
     """(key, chunk_index, section, text, token_count): the array of chunks, a row for each; a null or empty text gives none."""
-    return texts.where("text <> ''").select(key, F.posexplode(chunks).alias("chunk_index", "c")).select(key, "chunk_index", "c.*")
+    # The outer form: for the other one Spark adds a filter that computes the whole array a second time.
+    rows = texts.where("text <> ''").select(key, F.posexplode_outer(chunks).alias("chunk_index", "c"))
+    return rows.where("chunk_index IS NOT NULL").select(key, "chunk_index", "c.*")
 
 
 def chunk_notes(notes: DataFrame, key: str = "note_id", limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> DataFrame:
     """(key, chunk_index, section, text, token_count) of notes with key and text; a null or empty text gives none."""
-    pieces = F.flatten(F.transform(sections(F.col("text"), NOTE_PATTERN), lambda x: F.transform(pack(x["text"], limit, overlap), lambda p: F.struct(x["section"].alias("section"), p.alias("text")))))
+    # In steps: what is used more than once is a column, so that it is computed once.
+    parted = notes.where("text <> ''").select(key, "text", _parts(F.col("text"), NOTE_PATTERN).alias("_parts"))
+    pieces = F.flatten(F.transform(sections(F.col("_parts"), F.col("text")), lambda x: F.transform(pack(x["text"], limit, overlap), lambda p: F.struct(x["section"].alias("section"), p.alias("text")))))
     named = lambda x: F.when(x["section"].isin(*PLAIN), x["text"]).otherwise(F.concat(F.lit("["), x["section"], F.lit("] "), x["text"]))
     chunks = F.transform(_gathered(pieces, tiny), lambda x: F.struct(x["section"].alias("section"), named(x).alias("text"), estimated(named(x)).alias("token_count")))
-    return _rows(notes, key, chunks)
+    return _rows(parted, key, chunks)
 
 
 def training_sections(notes: DataFrame, key: str = "note_id", least: int = 100) -> DataFrame:
     """(key, chunk_index, section, text, token_count): sections of at least ``least`` characters, by the note_type's headers."""
-    found = lambda p: sections(F.col("text"), p, "full_note", "preamble")
-    by_type = F.when(F.col("note_type") == "discharge", found(TRAINING_PATTERNS["discharge"])).when(F.col("note_type") == "radiology", found(TRAINING_PATTERNS["radiology"])).otherwise(found(CAPS_PATTERN))
+    at = lambda p: _parts(F.col("text"), p)
+    parts = F.when(F.col("note_type") == "discharge", at(TRAINING_PATTERNS["discharge"])).when(F.col("note_type") == "radiology", at(TRAINING_PATTERNS["radiology"])).otherwise(at(CAPS_PATTERN))
+    parted = notes.where(F.length("text") >= least).select(key, "text", parts.alias("_parts"))
+    by_type = sections(F.col("_parts"), F.col("text"), "full_note", "preamble")
     chunks = F.transform(F.filter(by_type, lambda x: F.length(x["text"]) >= least), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text"), estimated(x["text"]).alias("token_count")))
-    return _rows(notes.where(F.length("text") >= least), key, chunks)
+    return _rows(parted, key, chunks)
 
 
 def chunk_guidelines(pages: DataFrame, key: str = "doc_id", source: str = "source", limit: int = LIMIT, overlap: int = OVERLAP, tiny: int = TINY) -> DataFrame:

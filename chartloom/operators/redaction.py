@@ -5,8 +5,6 @@ All of it are column expressions, so a scan of notes stays in the JVM and one pa
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,25 +50,31 @@ DEFAULT_THRESHOLD = 0.35
 _SPAN = "array<struct<rank:double,longest:int,start:int,end:int,type:string,value:string>>"
 
 
+#: Signs that stand before and behind a match while a text is taken apart.
+MARK, END = "\u0001", "\u0002"
+
+
 def _matches(text: Column, kind: str, score: float, pattern: str) -> Column:
-    """Every match of a pattern as a span: what lies between the matches gives their places."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Every match of a pattern as a span, from one pass that sets marks around the matches."""
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(F.lit(-score).alias("rank"), (start - end).alias("longest"), start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), pair["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(acc: Column, part: Column) -> Column:
+        """A part is what stands before the first match, or a match, END and what follows it."""
+        match = F.substring_index(part, END, 1)
+        end = acc["at"] + F.length(match)
+        span = F.struct(F.lit(-score).alias("rank"), (-F.length(match)).alias("longest"), acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("type"), match.alias("value"))
+        found = F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(part.contains(END), found).otherwise(F.struct(F.length(part).alias("at"), acc["out"].alias("out")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{END}"), MARK)
+    return F.aggregate(marked, begin, step, lambda acc: acc["out"])
 
 
 def spans(text: Column, entities: tuple[str, ...] | None = None, threshold: float = DEFAULT_THRESHOLD) -> Column:
     """Spans of a text by start, without overlaps: the surer match wins, then the longer, then the earlier. Null for a null text."""
     wanted = [p for p in PATTERNS if p[1] >= threshold and (entities is None or p[0] in entities)]
-    every = reduce(F.concat, [_matches(text, *p) for p in wanted], F.array().cast(_SPAN))
+    plain = F.translate(text, MARK + END, "  ")
+    every = F.concat(F.array().cast(_SPAN), *[_matches(plain, *p) for p in wanted])
     free = lambda kept, x: ~F.exists(kept, lambda k: (x["end"] > k["start"]) & (x["start"] < k["end"]))
     kept = F.aggregate(F.array_sort(every), F.array().cast(_SPAN), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return F.when(text.isNotNull(), F.array_sort(kept, lambda a, b: a["start"] - b["start"]))
@@ -95,10 +99,14 @@ def detect(notes: DataFrame, key: str = "note_id", entities: tuple[str, ...] | N
     return found.select(key, entity.alias("entities"), tagged_text(F.col("text"), F.col("found")).alias("redacted"))
 
 
+def entities_of(detected: DataFrame) -> DataFrame:
+    """(key, e): a row for each entity. The outer form, since for the other one Spark adds a filter that detects everything twice."""
+    return detected.select(detected.columns[0], F.explode_outer("entities").alias("e")).where("e IS NOT NULL")
+
+
 def entity_histogram(detected: DataFrame) -> DataFrame:
     """(type, n, n_notes)."""
-    each = detected.select(detected.columns[0], F.explode("entities").alias("e"))
-    return each.groupBy("e.type").agg(F.count("*").alias("n"), F.count_distinct(detected.columns[0]).alias("n_notes"))
+    return entities_of(detected).groupBy("e.type").agg(F.count("*").alias("n"), F.count_distinct(detected.columns[0]).alias("n_notes"))
 
 
 def recall(expected: DataFrame, redacted: DataFrame, key: str = "note_id") -> DataFrame:

@@ -160,7 +160,9 @@ def window_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _note_texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "deid_results").where("note_id IS NOT NULL").select("note_id", "note_type", F.col("original_text").alias("text")).distinct()
+    """Distinct notes, in as many partitions as are set: few bytes, but much work for each, so they shouldn't be coalesced by size."""
+    notes = table(s, d, "deid_results").where("note_id IS NOT NULL").select("note_id", "note_type", F.col("original_text").alias("text"))
+    return notes.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), *notes.columns).distinct()
 
 
 def section_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -181,7 +183,7 @@ def cleaned_pages(s: SparkSession, d: str) -> DataFrame:
 
 def phi_entities(s: SparkSession, d: str) -> DataFrame:
     found = redaction.detect(_note_texts(s, d))
-    return found.select("note_id", F.explode("entities").alias("e")).select("note_id", "e.type", "e.start", "e.end", "e.score")
+    return redaction.entities_of(found).select("note_id", "e.type", "e.start", "e.end", "e.score")
 
 
 def phi_redacted(s: SparkSession, d: str) -> DataFrame:
