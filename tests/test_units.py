@@ -80,6 +80,17 @@ def test_inferred_units_have_held_out_accuracy(spark):
     assert len(sure) > 0.9 * len(asked) and sum(r.uom == truth[r.labevent_id][0] for r in sure) > 0.99 * len(sure)
 
 
+def test_every_named_result_counts_in_the_model(spark, monkeypatch):
+    """All of 50,000 different named results with a range reach the model, and so do copies of one number."""
+    kinds = {"subject_id": "int", "itemid": "int", "charttime": "timestamp_ntz", "value": "string", "valueuom": "string", "priority": "string", "comments": "string"}
+    fixed = {"subject_id": "1", "itemid": "1", "valueuom": "'mg/dL'", "valuenum": "90 + least(id, 49999) / 1000.0D", "ref_range_lower": "70.0D", "ref_range_upper": "140.0D"}
+    labs = spark.range(50_100).selectExpr("id AS labevent_id", *[f"CAST({fixed.get(c, 'NULL')} AS {kinds.get(c, 'double')}) AS {c}" for c in {**kinds, **fixed}])
+    seen = []
+    monkeypatch.setattr(units, "train_unit_model", lambda labelled, **_: seen.append(labelled.where("label = 1").selectExpr("sum(weight)", "count(*)").first()))
+    units.resolve_units(labs, *tables(spark, [])[1:])
+    assert [tuple(r) for r in seen] == [(50_100.0, 50_000)]
+
+
 def test_units_after_a_logged_load(spark, tmp_path):
     from chartloom.sources import writers
 
