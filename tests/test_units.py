@@ -52,6 +52,15 @@ def test_named_units(spark):
     assert abs(common[1] - 90.08) < 1e-6 and abs(common[6] - 37.0) < 1e-3
 
 
+def test_texts_are_read_only_where_none_before_names_the_unit(spark):
+    """In the plan a row's comments are looked into only under the condition that valueuom and value named nothing."""
+    labs, factors, _ = tables(spark, [lab(1, 1, "5", 5.0, "mmol/L", None, None, "Outside lab, mg/dl")])
+    stated = units.stated_units(labs, units.candidate_units(factors))
+    assert [(r.uom, r.hint) for r in stated.collect()] == [("mmol/L", "valueuom")]
+    lines = [x for x in stated._jdf.queryExecution().optimizedPlan().toString().split("\n") if "regexp_extract(comments" in x]
+    assert lines and all("c_uom" in x.split("regexp_extract(comments")[0] and "c_value" in x.split("regexp_extract(comments")[0] for x in lines)
+
+
 RANGES = {"mg/dL": (70.0, 140.0), "mmol/L": (3.89, 7.77), "g/L": (0.7, 1.4), "deg C": (36.0, 38.0), "deg F": (96.8, 100.4)}
 
 
